@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from gridwright.llm.mixing import op10_source_mixing
+from gridwright.llm.near_dedup import op4_near_dedup
 from gridwright.llm.sharding import op2_sharding
 from gridwright.llm.urlfilter import RULES, op6_url_filter
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op4_near_dedup": op4_near_dedup,
     "op6_url_filter": op6_url_filter,
     "op10_source_mixing": op10_source_mixing,
 }
@@ -32,6 +34,24 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' A
 FROM p
 """
 
+_OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: array_to_string(ws[i:i + 3], ' '))) AS ss FROM w WHERE len(ws) > 0),
+u AS (
+  SELECT doc_id, len(ss) AS n, unnest(ss) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(a, b) AS (
+  SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (
+  SELECT w.doc_id, coalesce(len(ss), 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = w.doc_id), w.doc_id)) AS component_id
+  FROM w LEFT JOIN s ON w.doc_id = s.doc_id)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM c
+"""
+
 _RULE_VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
 _OP6 = f"""
@@ -105,6 +125,7 @@ FROM f
 
 ORACLE_SQL = {
     "op2_sharding": _OP2,
+    "op4_near_dedup": _OP4,
     "op6_url_filter": _OP6,
     "op10_source_mixing": _OP10,
 }
