@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridwright.llm.langid import op8_language_id
 from gridwright.llm.mixing import op10_source_mixing
 from gridwright.llm.near_dedup import op4_near_dedup
 from gridwright.llm.sharding import op2_sharding
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_near_dedup": op4_near_dedup,
     "op6_url_filter": op6_url_filter,
+    "op8_language_id": op8_language_id,
     "op10_source_mixing": op10_source_mixing,
 }
 
