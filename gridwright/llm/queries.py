@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridwright.llm.langid import op8_language_id
+from gridwright.llm.matroska import op5_matroska
 from gridwright.llm.mixing import op10_source_mixing
 from gridwright.llm.near_dedup import op4_near_dedup
 from gridwright.llm.sharding import op2_sharding
@@ -11,6 +12,7 @@ from gridwright.llm.urlfilter import RULES, op6_url_filter
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_near_dedup": op4_near_dedup,
+    "op5_matroska": op5_matroska,
     "op6_url_filter": op6_url_filter,
     "op8_language_id": op8_language_id,
     "op10_source_mixing": op10_source_mixing,
