@@ -6,6 +6,7 @@ from gridwright.llm.langid import op8_language_id
 from gridwright.llm.matroska import op5_matroska
 from gridwright.llm.mixing import op10_source_mixing
 from gridwright.llm.near_dedup import op4_near_dedup
+from gridwright.llm.pii import op9_pii
 from gridwright.llm.sharding import op2_sharding
 from gridwright.llm.urlfilter import RULES, op6_url_filter
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_matroska": op5_matroska,
     "op6_url_filter": op6_url_filter,
     "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
     "op10_source_mixing": op10_source_mixing,
 }
 
