@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from gridwright.llm.chat_format import op7_preference_format
 from gridwright.llm.langid import op8_language_id
+from gridwright.llm.license_scan import op3_license_scan
 from gridwright.llm.matroska import op5_matroska
 from gridwright.llm.mixing import op10_source_mixing
 from gridwright.llm.near_dedup import op4_near_dedup
@@ -12,9 +14,11 @@ from gridwright.llm.urlfilter import RULES, op6_url_filter
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_license_scan": op3_license_scan,
     "op4_near_dedup": op4_near_dedup,
     "op5_matroska": op5_matroska,
     "op6_url_filter": op6_url_filter,
+    "op7_preference_format": op7_preference_format,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_source_mixing": op10_source_mixing,
@@ -76,6 +80,38 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
 FROM h LEFT JOIN m ON h.n = m.n AND k = 1
 """
 
+_OP7 = r"""
+WITH t AS (
+  SELECT conv_id, turn, (min({'role': role, 'text': text})) AS s FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+l AS (
+  SELECT conv_id, max(turn) AS last_turn, arg_max(s.text, turn) AS reply FROM t WHERE s.role = 'assistant' GROUP BY conv_id),
+p AS (
+  SELECT l.conv_id, l.last_turn, o.reply AS wrong FROM l LEFT JOIN l o ON o.conv_id = xor(l.conv_id, 1::BIGINT)),
+b AS (
+  SELECT t.conv_id AS pair_id, turn, coalesce(s.role, 'unknown') AS role, coalesce(s.text, '') AS c,
+         CASE WHEN turn = last_turn THEN coalesce(wrong, '') ELSE coalesce(s.text, '') END AS r
+  FROM t JOIN p ON t.conv_id = p.conv_id WHERE turn <= last_turn),
+cut AS (
+  SELECT pair_id, min(turn) FILTER (WHERE c <> r) AS cut FROM b GROUP BY pair_id),
+x AS (
+  SELECT b.pair_id, turn, turn // 4096 AS part, cut IS NULL OR turn < cut AS common, role = 'assistant' AS train,
+         '<|im_start|>' || replace(role, '<|', '< |') || chr(10) AS head,
+         replace(c, '<|', '< |') || '<|im_end|>' AS cb, replace(r, '<|', '< |') || '<|im_end|>' AS rb
+  FROM b JOIN cut ON b.pair_id = cut.pair_id),
+y AS (
+  SELECT *, head || cb || chr(10) AS cs, head || rb || chr(10) AS rs,
+         coalesce(sum(CASE WHEN common THEN 0 ELSE length(head || cb) + 1 END) OVER w, 0)::BIGINT AS ca,
+         coalesce(sum(CASE WHEN common THEN 0 ELSE length(head || rb) + 1 END) OVER w, 0)::BIGINT AS ra
+  FROM x WINDOW w AS (PARTITION BY pair_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT pair_id, part, count(*) FILTER (WHERE common)::INT AS prompt_turns,
+       coalesce(string_agg(cs, '' ORDER BY turn) FILTER (WHERE common), '') AS prompt,
+       coalesce(string_agg(cs, '' ORDER BY turn) FILTER (WHERE NOT common), '') AS chosen,
+       coalesce(string_agg(rs, '' ORDER BY turn) FILTER (WHERE NOT common), '') AS rejected,
+       coalesce(string_agg((ca + length(head)) || ':' || (ca + length(head) + length(cb)), ',' ORDER BY turn) FILTER (WHERE NOT common AND train), '') AS chosen_mask,
+       coalesce(string_agg((ra + length(head)) || ':' || (ra + length(head) + length(rb)), ',' ORDER BY turn) FILTER (WHERE NOT common AND train), '') AS rejected_mask
+FROM y GROUP BY pair_id, part
+"""
+
 _OP10 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -133,5 +169,6 @@ ORACLE_SQL = {
     "op2_sharding": _OP2,
     "op4_near_dedup": _OP4,
     "op6_url_filter": _OP6,
+    "op7_preference_format": _OP7,
     "op10_source_mixing": _OP10,
 }
