@@ -51,3 +51,14 @@ def word_count(text: Column) -> Column:
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Each wanted name, with underscores put before it until df has no such column."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name in have:
+            name = f"_{name}"
+        have.add(name)
+        out.append(name)
+    return out

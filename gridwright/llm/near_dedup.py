@@ -42,7 +42,7 @@ def _fingerprint(s: np.ndarray) -> bytes | None:
 
 
 def sketch_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """id, n (set size), fp (of the set) and the band keys of each document (id, text)."""
+    """id, hash (of the text), n (set size), fp (of the set) and the band keys of each document (id, text)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -56,14 +56,15 @@ def sketch_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(part.start, part.stop - part.start),
+                        batch.column("hash").slice(part.start, part.stop - part.start),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_fingerprint(s) for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.reshape(-1), pa.int64())),
                     ],
-                    ["id", "n", "fp", "bands"],
+                    ["id", "hash", "n", "fp", "bands"],
                 )
 
-    return docs.select("id", "text").mapInArrow(sketched, "id long, n long, fp binary, bands array<long>")
+    return docs.select("id", F.xxhash64("text").alias("hash"), "text").mapInArrow(sketched, "id long, hash long, n long, fp binary, bands array<long>")
 
 
 class _Forest:
@@ -166,7 +167,7 @@ def _verified(percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 48, rows: int = 7, block_weight: int = 1_000_000) -> DataFrame:
-    """id_col, n_shingles, component_id and kept for each row of docs.
+    """id_col, n_shingles, component_id, kept and text_hash (xxhash64) for each row of docs.
 
     Documents are linked at ``percent`` hundredths of Jaccard similarity over
     distinct k-word shingles. block_weight: a block's shingles plus 500 for each
@@ -224,10 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.join(heads, F.col("component") == F.col("c"), "left").select(F.col("fp").alias("f"), F.coalesce("head", "rep").alias("head"))
     named, _ = written(named, "near-heads")
     discard(spark, star_path, cluster_path, links_path, nodes_path)
-    out = sketched.select("id", "n", "fp").join(named, F.col("fp") == F.col("f"), "left")
+    out = sketched.select("id", "hash", "n", "fp").join(named, F.col("fp") == F.col("f"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("head", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), F.col("hash").alias("text_hash"))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("text_hash")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from gridwright.llm.chat_format import op7_preference_format
+from gridwright.llm.decontam import op1_decontamination
 from gridwright.llm.langid import op8_language_id
 from gridwright.llm.license_scan import op3_license_scan
 from gridwright.llm.matroska import op5_matroska
@@ -13,6 +15,8 @@ from gridwright.llm.sharding import op2_sharding
 from gridwright.llm.urlfilter import RULES, op6_url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_license_scan": op3_license_scan,
     "op4_near_dedup": op4_near_dedup,

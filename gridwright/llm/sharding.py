@@ -25,18 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm.common import shared_dir, table
-
-
-def free_names(df: DataFrame, *wanted: str) -> list[str]:
-    """Each wanted name, with underscores put before it until df has no such column."""
-    have, out = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name in have:
-            name = f"_{name}"
-        have.add(name)
-        out.append(name)
-    return out
+from gridwright.llm.common import free_names, shared_dir, table
 
 
 def shard_by_bytes(df: DataFrame, size: Column, order_by: list[str], n_shards: int = 24, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
