@@ -7,7 +7,7 @@ generated code, apart from a few higher-order functions on rare branches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,10 @@ _FRACTIONAL = (T.FloatType, T.DoubleType)
 _TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def is_text(t: T.DataType) -> bool:
     return isinstance(t, (T.StringType, T.VarcharType, T.CharType))
 
@@ -112,30 +116,30 @@ def to_text(c: Column, t: T.DataType, null: str = "") -> Column:
     return F.coalesce(s, F.lit(null))
 
 
-def to_fixed(x: Column, places: int) -> Column:
-    """x rounded to ``places`` decimals by its exact binary value, halves away
-    from zero.
+def to_fixed(df: DataFrame, name: str, x: Column, places: int) -> DataFrame:
+    """df with a column: x rounded to ``places`` decimals by its exact binary
+    value, halves away from zero.
 
     x times the power of ten is kept as a product and its rounding error (both
     exact, by splitting the factors into halves of their bits), so that 1.005
-    to two places is 1.0, as its binary value lies below the half.
+    to two places is 1.0, as its binary value lies below the half. The error only
+    matters next to a half. Steps are columns of their own: each is used several
+    times, and as nested expressions they would be written out each time.
     """
-    scale = float(10**places)
-    a = F.abs(x)
-    split = float(2**27 + 1)
-    t = a * split
-    ah = t - (t - a)
-    al = a - ah
-    bt = scale * split
-    bh = bt - (bt - scale)
+    scale, split = float(10**places), float(2**27 + 1)
+    bh = scale * split - (scale * split - scale)
     bl = scale - bh
-    p = a * scale
-    error = al * bl - (((p - ah * bh) - al * bh) - ah * bl)
-    n = F.floor(p).cast("double")
-    up = (p - n) + error >= 0.5
-    down = ((p - n) + error) < -0.5
-    rounded = (n + F.when(up, 1.0).when(down, -1.0).otherwise(0.0)) / scale
-    return F.when(p < float(2**53), F.when(x < 0, -rounded).otherwise(rounded)).otherwise(x)
+    x_, a, p, n, ah = (f"__{name}_{part}" for part in ("x", "a", "p", "n", "ah"))
+    c = {part: F.col(quoted(part)) for part in (x_, a, p, n, ah)}
+    df = df.withColumn(x_, x).withColumn(a, F.abs(c[x_]))
+    df = df.withColumns({p: c[a] * scale, ah: c[a] * split - (c[a] * split - c[a])}).withColumn(n, F.floor(c[p]).cast("double"))
+    part, al = c[p] - c[n], c[a] - c[ah]
+    error = al * bl - (((c[p] - c[ah] * bh) - al * bh) - c[ah] * bl)
+    far = (c[p] < float(2**40)) & (F.abs(part - 0.5) > 2.0**-12)
+    up = F.when(far, part > 0.5).otherwise(part + error >= 0.5)
+    rounded = (c[n] + up.cast("double")) / scale
+    value = F.when(c[p] < float(2**53), F.when(c[x_] < 0, -rounded).otherwise(rounded)).otherwise(c[x_])
+    return df.withColumn(name, value).drop(x_, a, p, n, ah)
 
 
 #: Forms of dates that text may have, most usual first.

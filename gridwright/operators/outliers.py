@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 from pyspark.sql import functions as F
@@ -39,8 +40,10 @@ def remove_outliers(grid: Grid, params: dict[str, Any], mode: str = LITERAL) ->
             lower, upper = middle - threshold * mad / 0.6745, middle + threshold * mad / 0.6745
     if lower is None:
         out = grid
+    elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and abs(lower) < 2**62 and abs(upper) < 2**62:
+        # Whole bounds in the column's own type reach the file scan.
+        out = grid.filter(c.isNull() | ((c >= math.ceil(lower)) & (c <= math.floor(upper))))
     elif is_numeric(t):
-        # In terms of the column itself, so that the bounds reach the file scan.
         inside = c.isNull() | ((c >= lower) & (c <= upper))
         out = grid.filter(inside | F.isnan(c) if isinstance(t, (T.DoubleType, T.FloatType)) else inside)
     else:

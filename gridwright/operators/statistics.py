@@ -11,39 +11,53 @@ from pyspark.sql import functions as F
 SMALL = 50_000
 
 
-def order_statistics(df: DataFrame, x: Column, ranks: list[int]) -> dict[int, float]:
-    """The values of these ranks (from 0) among the non-null values of x.
+def order_statistics(df: DataFrame, x: Column, ranks: list[int], n: int | None = None) -> dict[int, float]:
+    """The values of these ranks (from 0) among the n non-null values of x.
 
-    Approximate quantiles bracket a rank, counts tell its rank inside the
-    bracket, and the search goes on there until few values are left; each pass
-    narrows it about a thousandfold. Unlike the built-in exact percentile, it
-    never holds all distinct values in one aggregate's memory.
+    Approximate quantiles bracket every rank, counts tell its rank inside the
+    bracket, and the search goes on there until few values are left. A round is
+    two aggregates for all ranks together and narrows each about a thousandfold.
+    Unlike the built-in exact percentile, no aggregate ever holds all distinct
+    values in memory.
     """
     values = df.select(x.alias("x")).filter("x is not null")
-    out: dict[int, float] = {}
-    for rank in sorted(set(ranks)):
-        part, left = values, rank
-        while rank not in out:
-            n = part.count()
-            if n <= SMALL:
-                out[rank] = part.agg(F.sort_array(F.collect_list("x"))).first()[0][left]
-                break
-            share = left / (n - 1)
-            low, high = part.agg(F.percentile_approx("x", [max(0.0, share - 3e-4), min(1.0, share + 3e-4)], 10_000)).first()[0]
-            below, inside = part.agg(F.count_if(F.col("x") < low), F.count_if(F.col("x").between(low, high))).first()
-            if low == high and below <= left < below + inside:
-                out[rank] = low
-            elif below <= left < below + inside and inside < n:
-                part, left = part.filter(F.col("x").between(low, high)), left - below
-            elif left < below:
-                part = part.filter(F.col("x") < low)
-            elif left >= below + inside:
-                part, left = part.filter(F.col("x") > high), left - below - inside
-            else:  # no narrower: the ends are apart from everything else
-                middle = (low + high) / 2
-                under = part.filter(F.col("x") <= middle).count()
-                part, left = (part.filter(F.col("x") <= middle), left) if left < under else (part.filter(F.col("x") > middle), left - under)
-    return out
+    n = values.count() if n is None else n
+    v = F.col("x")
+    found: dict[int, float] = {}
+    # For each rank: where it still can be, how many values lie below that, and how many in it.
+    open_: dict[int, tuple[Column, int, int]] = {r: (F.lit(True), 0, n) for r in set(ranks)}
+    while open_:
+        small = [r for r, (_, _, size) in open_.items() if size <= SMALL]
+        if small:
+            lists = values.agg(*[F.element_at(F.sort_array(F.collect_list(F.when(open_[r][0], v))), r - open_[r][1] + 1) for r in small]).first()
+            found.update(zip(small, lists))
+            open_ = {r: o for r, o in open_.items() if r not in found}
+            continue
+        share = {r: (r - below) / (size - 1) for r, (_, below, size) in open_.items()}
+        near = {r: [max(0.0, s - 3e-4), min(1.0, s + 3e-4)] for r, s in share.items()}
+        cuts = dict(zip(open_, values.agg(*[F.percentile_approx(F.when(open_[r][0], v), near[r], 10_000) for r in open_]).first()))
+        counts = values.agg(*[c for r, (where, _, _) in open_.items() for c in (F.count_if(where & (v < cuts[r][0])), F.count_if(where & v.between(*cuts[r])))]).first()
+        for k, (r, (where, below, size)) in enumerate(list(open_.items())):
+            (low, high), under, inside = cuts[r], counts[2 * k], counts[2 * k + 1]
+            left = r - below
+            if left < under:
+                open_[r] = (where & (v < low), below, under)
+            elif left >= under + inside:
+                open_[r] = (where & (v > high), below + under + inside, size - under - inside)
+            elif low == high:
+                found[r] = low
+                del open_[r]
+            else:
+                # An end that holds many equal values is told apart from what lies within.
+                at_low = values.filter(where & (v == low)).count() if inside == size else 0
+                if at_low and left < under + at_low:
+                    found[r] = low
+                    del open_[r]
+                elif at_low:
+                    open_[r] = (where & (v > low), below + under + at_low, size - under - at_low)
+                else:
+                    open_[r] = (where & v.between(low, high), below + under, inside)
+    return found
 
 
 def percentiles(df: DataFrame, x: Column, shares: list[float]) -> list[float | None]:
@@ -52,7 +66,7 @@ def percentiles(df: DataFrame, x: Column, shares: list[float]) -> list[float | N
     if not n:
         return [None] * len(shares)
     at = [s * (n - 1) for s in shares]
-    found = order_statistics(df, x, [r for a in at for r in (math.floor(a), math.ceil(a))])
+    found = order_statistics(df, x, [r for a in at for r in (math.floor(a), math.ceil(a))], n)
     return [found[math.floor(a)] + (found[math.ceil(a)] - found[math.floor(a)]) * (a - math.floor(a)) for a in at]
 
 

@@ -46,8 +46,9 @@ def currency_convert(grid: Grid, params: dict[str, Any], mode: str = LITERAL) ->
     rate = exchange_rate(params, source, target, mode)
     i = grid.index(params["column"])
     name = f"{params['column']}_{target}"
-    value = to_fixed(to_number(grid.col(i), grid.type(i)) * F.lit(rate), 4)
-    return ToolResult(f"Convert currency: {source} to {target}", grid.add([(name, value)]), lambda: {"rate": f"{rate:.6f}", "new_column": name, "rows": grid.df.count()})
+    value = to_number(grid.col(i), grid.type(i)) * F.lit(rate)
+    out = grid.add_with(name, lambda df, column: to_fixed(df, column, value, 4))
+    return ToolResult(f"Convert currency: {source} to {target}", out, lambda: {"rate": f"{rate:.6f}", "new_column": name, "rows": grid.df.count()})
 
 
 def _converted(x: Column, category: str, source: str, target: str, mode: str) -> Column:
@@ -81,6 +82,6 @@ def unit_convert(grid: Grid, params: dict[str, Any], mode: str = LITERAL) -> Too
     factor 1 and unknown categories change nothing; otherwise they are refused."""
     category, source, target = text_or(params, "category", "length"), text_or(params, "from_unit", "m"), text_or(params, "to_unit", "ft")
     i = grid.index(params["column"])
-    value = to_fixed(_converted(to_number(grid.col(i), grid.type(i)), category, source, target, mode), 6)
-    out = grid.add([(f"{params['column']}_{target}", value)])
+    value = _converted(to_number(grid.col(i), grid.type(i)), category, source, target, mode)
+    out = grid.add_with(f"{params['column']}_{target}", lambda df, column: to_fixed(df, column, value, 6))
     return ToolResult(f"Convert units: {source} to {target}", out, lambda: {"category": category, "from": source, "to": target, "rows": grid.df.count()})

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.coerce import BLANK, is_empty, to_number, trimmed
@@ -67,36 +68,47 @@ _BAD_HOST = r"[\x00-\x20#/<>?@\\\[\]^|%\x7f]"
 _PART = r"(?:0[xX][0-9a-fA-F]*|[0-9]+)"
 
 
-def url_parts_valid(s: Column) -> tuple[Column, Column]:
-    """Whether a text is an absolute URL by the living standard's parser, and its
-    scheme. Covers schemes, user info, ports, IPv4 and bracketed IPv6 hosts,
-    forbidden host characters, and opaque paths; names are not mapped by IDNA."""
-    s = F.regexp_replace(trimmed(s), r"^[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]", "")
-    scheme = F.lower(F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    rest = F.substring(s, F.length(scheme) + 2, F.length(s))
-    special = scheme.isin("http", "https", "ws", "wss", "ftp")
-    authority = F.when(special, F.regexp_extract(rest, r"^[/\\]*([^/\\?#]*)", 1)).otherwise(F.regexp_extract(rest, r"^//([^/?#]*)", 1))
-    host_port = F.regexp_replace(authority, r"^.*@", "")
-    bracketed = host_port.startswith("[")
-    host = F.when(bracketed, F.regexp_extract(host_port, r"^(\[[^\]]*\])", 1)).otherwise(F.regexp_extract(host_port, r"^([^:]*)", 1))
-    tail = F.substring(host_port, F.length(host) + 1, F.length(host_port))
-    port = F.regexp_extract(tail, r"^:([0-9]*)\z", 1)
-    port_ok = (tail == "") | (tail.rlike(r"^:[0-9]*\z") & (F.coalesce(port.try_cast("int"), F.when(port == "", 0)) <= 65535))
-    decoded = F.when(host.contains("%"), F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), F.lit("%"))).otherwise(host)
-    numeric_end = decoded.rlike(rf"(?:^|\.){_PART}\.?\z")
-    numbers = F.split(F.regexp_replace(decoded, r"\.\z", ""), r"\.", -1)
-    small = F.forall(numbers, lambda p: p.rlike(r"^(?:[0-9]+|0[xX][0-9a-fA-F]*)\z"))
-    ipv4 = (F.size(numbers) <= 4) & small & F.forall(F.slice(numbers, 1, F.greatest(F.size(numbers) - 1, F.lit(0))), lambda p: p.rlike(r"^(?:0[xX]0*[0-9a-fA-F]{0,2}|0[0-3]?[0-7]{0,2}|[1-9]?[0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])\z")) & F.when(F.size(numbers) == 4, F.element_at(numbers, -1).rlike(r"^(?:0[xX]0*[0-9a-fA-F]{0,2}|0[0-3]?[0-7]{0,2}|[1-9]?[0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])\z")).otherwise(F.length(F.element_at(numbers, -1)) <= 10)
-    ipv6 = host.rlike(r"^\[(?:[0-9a-fA-F]{0,4}:){2,7}(?:[0-9a-fA-F]{0,4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3})\]\z") & ~host.rlike(r":::|::.*::")
-    named = (decoded != "") & ~decoded.rlike(_BAD_HOST) & F.when(numeric_end, ipv4).otherwise(True)
-    plain = ~host.rlike(r"[\x00\t\n\r #/<>?@\\\[\]^|]")
+_BYTE = r"^(?:0[xX]0*[0-9a-fA-F]{0,2}|0[0-3]?[0-7]{0,2}|[1-9]?[0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])\z"
+
+
+def check_urls(df: DataFrame, s: Column, valid: str, scheme: str) -> DataFrame:
+    """df with two columns: whether a text is an absolute URL by the living
+    standard's parser, and its scheme. Covers schemes, user info, ports, IPv4 and
+    bracketed IPv6 hosts, forbidden host characters, and opaque paths; names are
+    not mapped by IDNA. Steps are columns of their own, as each is used often."""
+    c = {k: F.col(f"__url_{k}") for k in ("s", "rest", "host_port", "host", "tail", "decoded", "numbers")}
+    sch = F.col(scheme)
+    df = df.withColumn("__url_s", F.regexp_replace(trimmed(s), r"^[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]", ""))
+    df = df.withColumn(scheme, F.lower(F.regexp_extract(c["s"], r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)))
+    df = df.withColumn("__url_rest", F.substring(c["s"], F.length(sch) + 2, F.length(c["s"])))
+    special = sch.isin("http", "https", "ws", "wss", "ftp")
+    authority = F.when(special, F.regexp_extract(c["rest"], r"^[/\\]*([^/\\?#]*)", 1)).otherwise(F.regexp_extract(c["rest"], r"^//([^/?#]*)", 1))
+    df = df.withColumn("__url_host_port", F.regexp_replace(authority, r"^.*@", ""))
+    bracketed = c["host_port"].startswith("[")
+    df = df.withColumn("__url_host", F.when(bracketed, F.regexp_extract(c["host_port"], r"^(\[[^\]]*\])", 1)).otherwise(F.regexp_extract(c["host_port"], r"^([^:]*)", 1)))
+    decoded = F.when(c["host"].contains("%"), F.coalesce(F.try_url_decode(F.replace(c["host"], F.lit("+"), F.lit("%2B"))), F.lit("%"))).otherwise(c["host"])
+    df = df.withColumns({"__url_tail": F.substring(c["host_port"], F.length(c["host"]) + 1, F.length(c["host_port"])), "__url_decoded": decoded})
+    df = df.withColumn("__url_numbers", F.split(F.regexp_replace(c["decoded"], r"\.\z", ""), r"\.", -1))
+    port = F.regexp_extract(c["tail"], r"^:([0-9]*)\z", 1)
+    port_ok = (c["tail"] == "") | (c["tail"].rlike(r"^:[0-9]*\z") & (F.coalesce(port.try_cast("int"), F.when(port == "", 0)) <= 65535))
+    numbers, n = c["numbers"], F.size(c["numbers"])
+    last = F.element_at(numbers, -1)
+    ipv4 = (
+        (n <= 4)
+        & F.forall(numbers, lambda p: p.rlike(r"^(?:[0-9]+|0[xX][0-9a-fA-F]*)\z"))
+        & F.forall(F.slice(numbers, 1, F.greatest(n - 1, F.lit(0))), lambda p: p.rlike(_BYTE))
+        & F.when(n == 4, last.rlike(_BYTE)).otherwise(F.length(last) <= 10)
+    )
+    ipv6 = c["host"].rlike(r"^\[(?:[0-9a-fA-F]{0,4}:){2,7}(?:[0-9a-fA-F]{0,4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3})\]\z") & ~c["host"].rlike(r":::|::.*::")
+    named = (c["decoded"] != "") & ~c["decoded"].rlike(_BAD_HOST) & F.when(c["decoded"].rlike(rf"(?:^|\.){_PART}\.?\z"), ipv4).otherwise(True)
+    plain = ~c["host"].rlike(r"[\x00\t\n\r #/<>?@\\\[\]^|]") & ~((c["host"] == "") & (c["tail"] != ""))
     ok = (
-        F.when(scheme == "", False)
+        F.when(sch == "", False)
         .when(special, port_ok & F.when(bracketed, ipv6).otherwise(named))
-        .when((scheme == "file") | ~rest.startswith("//"), True)
-        .otherwise(port_ok & F.when(bracketed, ipv6).otherwise(plain & ~((host == "") & (tail != ""))))
+        .when((sch == "file") | ~c["rest"].startswith("//"), True)
+        .otherwise(port_ok & F.when(bracketed, ipv6).otherwise(plain))
     )
-    return F.coalesce(ok, F.lit(False)), scheme
+    return df.withColumn(valid, F.coalesce(ok, F.lit(False))).drop(*[f"__url_{k}" for k in c])
 
 
 def validate_url(grid: Grid, params: dict[str, Any], mode: str = LITERAL) -> ToolResult:
@@ -105,11 +117,22 @@ def validate_url(grid: Grid, params: dict[str, Any], mode: str = LITERAL) -> Too
     action = choice(params, "action", "flag_invalid", {"flag_invalid", "remove_invalid"})
     check = params.get("check_scheme") != "false" and not (mode != LITERAL and params.get("check_scheme") is False)
     i = grid.index(params["column"])
-    valid, scheme = url_parts_valid(grid.text(i, null="null"))
-    if check:
-        valid = valid & scheme.isin("http", "https")
-    out = grid.add([("url_valid", valid.cast("int"))]) if action == "flag_invalid" else grid.set({i: F.when(valid, grid.col(i))})
-    return _reported(f"Validate URL: {params['column']}", grid, out, valid)
+    def checked(df: DataFrame) -> DataFrame:
+        df = check_urls(df, grid.text(i, null="null"), "__valid", "__scheme")
+        good = F.col("__valid") & F.col("__scheme").isin("http", "https") if check else F.col("__valid")
+        return df.withColumn("__valid", good).drop("__scheme")
+
+    if action == "flag_invalid":
+        out = grid.add_with("url_valid", lambda df, name: checked(df).withColumn(name, F.col("__valid").cast("int")).drop("__valid"))
+    else:
+        judged = replace(grid, df=checked(grid.df)).set({i: F.when(F.col("__valid"), grid.col(i))})
+        out = replace(judged, df=judged.df.drop("__valid"))
+
+    def measures() -> dict[str, Any]:
+        rows, good = checked(grid.df).agg(F.count(F.lit(1)), F.count_if("__valid")).first()
+        return {"total": rows, "valid": good, "invalid": rows - good}
+
+    return ToolResult(f"Validate URL: {params['column']}", out, measures)
 
 
 def _bound(params: dict[str, Any], name: str) -> float | None:

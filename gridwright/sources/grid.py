@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.functions.coerce import is_text, to_text
+from gridwright.functions.coerce import is_text, quoted, to_text
 from gridwright.sources.positions import numbered
 
 POS = "__pos"
@@ -36,10 +36,6 @@ def unique_names(headers: Iterable[str], taken: Iterable[str] = ()) -> list[str]
     return out
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 @dataclass(frozen=True)
 class Grid:
     df: DataFrame
@@ -110,6 +106,11 @@ class Grid:
         taken = unique_names([n for n, _ in new], self.headers)
         return replace(self, df=df, headers=(*self.headers, *taken), columns=(*self.columns, *names))
 
+    def add_with(self, name: str, make: Callable[[DataFrame, str], DataFrame]) -> Grid:
+        """One column appended by a function of the DataFrame and the column's name."""
+        column = unique_names([name], self.df.columns)[0]
+        return replace(self, df=make(self.df, column), headers=(*self.headers, unique_names([name], self.headers)[0]), columns=(*self.columns, column))
+
     def keep(self, indices: Sequence[int]) -> Grid:
         columns = [self.columns[i] for i in indices]
         return replace(self, df=self.df.select(*map(quoted, [*columns, *self._hidden()])), columns=tuple(columns), headers=tuple(self.headers[i] for i in indices))

@@ -59,7 +59,8 @@ def test_to_fixed_rounds_the_binary_value(spark):
     values = [1.005, 0.03125, -0.03125, 1.45, 8.345, 2.5, -2.5, 1e20, 1.0000005] + [rng.uniform(-1e6, 1e6) for _ in range(500)] + [rng.randrange(10**7) / 1e5 for _ in range(500)]
     for places in (0, 2, 4, 6):
         want = [float(Decimal(v).quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP)) if abs(v) < 1e15 else v for v in values]
-        assert mapped(spark, values, "double", lambda c, p=places: to_fixed(c, p)) == want
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+        assert [r.f for r in to_fixed(df, "f", F.col("x"), places).orderBy("i").collect()] == want
 
 
 def test_instants(spark):
