@@ -11,8 +11,8 @@ reaches the driver; rows never do.
 Defined results: a null text has size ``row_overhead``; null order keys come
 first; rows that tie in the order key are ordered by the remaining tie columns,
 and rows equal in all of those are interchangeable; an empty table gives an
-empty result. Extra columns are carried along, whatever their names: the
-operator's own working columns get names that the input doesn't have.
+empty result. Extra columns are carried along, whatever their names, but for
+those named like the two results, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,47 +53,47 @@ def shard_by_bytes(df: DataFrame, size: Column, order_by: list[str], n_shards: i
         # 2 * start + size is twice the row's middle: whole numbers throughout.
         return np.minimum((2 * start + sizes) * n_shards // (2 * whole), n_shards - 1)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here: dict[tuple[int, int], int] = {}
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+        """Each batch with its partition's number and its rows' shards."""
         done = 0
-        for pdf in batches:
-            p, sizes = int(pdf[pid].iloc[0]), pdf[b].to_numpy()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, sizes = batch.column(pid)[0].as_py(), batch.column(b).to_numpy()
             ends = np.cumsum(sizes) + offsets[p] + done
             done += int(sizes.sum())
-            for s, n in zip(*np.unique(cut(ends - sizes, sizes), return_counts=True)):
+            yield batch, p, cut(ends - sizes, sizes)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: dict[tuple[int, int], int] = {}
+        for _, p, shard in shards(batches):
+            for s, n in zip(*np.unique(shard, return_counts=True)):
                 here[p, int(s)] = here.get((p, int(s)), 0) + int(n)
-        yield pd.DataFrame([(p, s, n) for (p, s), n in here.items()], columns=["p", "s", "n"]).astype("int64")
+        rows = [(p, s, n) for (p, s), n in here.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["p", "s", "n"])
 
     first_slot: dict[tuple[int, int], int] = {}
     seen: dict[int, int] = {}
-    for p, s, n in sorted(tuple(r) for r in placed.select(pid, b).mapInPandas(counted, "p long, s long, n long").collect()):
+    for p, s, n in sorted(tuple(r) for r in placed.select(pid, b).mapInArrow(counted, "p long, s long, n long").collect()):
         first_slot[p, s] = seen.get(s, 0)
         seen[s] = seen.get(s, 0) + n
 
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done = 0
+    kept = [f for f in df.schema.fields if f.name.lower() not in (shard_col.lower(), slot_col.lower())]
+    names = [f.name for f in kept]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used: dict[int, int] = {}
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            p, sizes = int(pdf[pid].iloc[0]), pdf[b].to_numpy()
-            ends = np.cumsum(sizes) + offsets[p] + done
-            done += int(sizes.sum())
-            shard = cut(ends - sizes, sizes)
-            slot = np.empty(len(pdf), dtype="int64")
-            for s in np.unique(shard):
-                s = int(s)
+        for batch, p, shard in shards(batches):
+            slot = np.empty(len(shard), dtype=np.int64)
+            for s in np.unique(shard).tolist():
                 mine = np.flatnonzero(shard == s)
                 at = first_slot[p, s] + used.get(s, 0)
                 slot[mine] = np.arange(at, at + len(mine))
                 used[s] = used.get(s, 0) + len(mine)
-            pdf = pdf.drop(columns=[pid, b])
-            pdf[shard_col], pdf[slot_col] = shard.astype("int32"), slot
-            yield pdf
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(shard, pa.int32()), pa.array(slot)], [*names, shard_col, slot_col])
 
-    schema = T.StructType([f for f in df.schema.fields if f.name not in (shard_col, slot_col)] + [T.StructField(shard_col, T.IntegerType()), T.StructField(slot_col, T.LongType())])
-    kept = [c for c in df.columns if c not in (shard_col, slot_col)]
-    return placed.select(*kept, pid, b).mapInPandas(dealt, schema)
+    schema = T.StructType([*kept, T.StructField(shard_col, T.IntegerType()), T.StructField(slot_col, T.LongType())])
+    return placed.select(*names, pid, b).mapInArrow(dealt, schema)
 
 
 def document_bytes(text: Column, overhead: int = 8) -> Column:
