@@ -34,7 +34,8 @@ from gridwright.llm.common import table, word_count, written
 def _apportion(cells: DataFrame, key: list[str], seats: Column, votes: Column, per: list[str], tie: str) -> DataFrame:
     """cells with a long ``quota``: the seats of each group ``per``, by votes.
 
-    Rounded shares first, then the highest (or lowest) quotients at the margin.
+    Rounded shares first, then the highest (or lowest) quotients at the margin;
+    of equal quotients the smaller ``tie`` has precedence.
     A cell's quota moves by at most its share of half the number of cells plus
     one, so that many quotients per cell suffice: about 2.5 per cell in all.
     """
@@ -47,7 +48,7 @@ def _apportion(cells: DataFrame, key: list[str], seats: Column, votes: Column, p
     up = F.col("__delta") > 0
     seat = F.when(up, F.col("__q") + F.col("__k")).otherwise(F.col("__q") - F.col("__k") + 1)
     tried = tried.withColumn("__seat", seat).filter("__seat > 0").withColumn("__quotient", F.col("__votes") / (2 * F.col("__seat") - 1))
-    first = (Window.partitionBy(*per) if per else Window.partitionBy(F.lit(0))).orderBy(F.when(up, -F.col("__quotient")).otherwise(F.col("__quotient")), F.col(tie), F.col("__k"))
+    first = (Window.partitionBy(*per) if per else Window.partitionBy(F.lit(0))).orderBy(F.when(up, -F.col("__quotient")).otherwise(F.col("__quotient")), F.when(up, F.col(tie)).otherwise(-F.col(tie)), F.col("__k"))
     moved = tried.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= F.abs("__delta")).groupBy(*key).agg(F.sum(F.when(up, 1).otherwise(-1)).alias("__moved"))
     joined = base.join(moved.select(*[F.col(k).alias(f"__m_{k}") for k in key], "__moved"), [F.col(k) == F.col(f"__m_{k}") for k in key], "left")
     return joined.withColumn("quota", F.col("__q") + F.coalesce("__moved", F.lit(0))).select(*cells.columns, "quota")

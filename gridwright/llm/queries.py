@@ -139,7 +139,7 @@ q2 AS (
 q3 AS (
   SELECT rank, k, delta, CASE WHEN delta > 0 THEN q + k ELSE q - k + 1 END AS seat, target FROM q2, range(1, 200) AS x(k) WHERE delta <> 0 AND target > 0 AND k <= abs(delta)),
 q4 AS (
-  SELECT rank, delta, row_number() OVER (ORDER BY CASE WHEN delta > 0 THEN -target / (2 * seat - 1) ELSE target / (2 * seat - 1) END, rank, k) AS n FROM q3 WHERE seat > 0),
+  SELECT rank, delta, row_number() OVER (ORDER BY CASE WHEN delta > 0 THEN -target / (2 * seat - 1) ELSE target / (2 * seat - 1) END, rank * sign(delta), k) AS n FROM q3 WHERE seat > 0),
 q AS (
   SELECT source, rank, source_size, target, greatest(1, ceil(n / 4096))::BIGINT AS shards,
          q + sign(delta)::BIGINT * coalesce((SELECT count(*) FROM q4 WHERE q4.rank = q2.rank AND q4.n <= abs(q4.delta)), 0) AS want FROM q2),
@@ -158,7 +158,7 @@ c3 AS (
 c4 AS (
   SELECT rank, cell, k, delta, CASE WHEN delta > 0 THEN q + k ELSE q - k + 1 END AS seat, cs FROM c3, range(1, 200) AS x(k) WHERE delta <> 0 AND cs > 0 AND k <= abs(delta)),
 c5 AS (
-  SELECT rank, cell, delta, row_number() OVER (PARTITION BY rank ORDER BY CASE WHEN delta > 0 THEN -cs::DOUBLE / (2 * seat - 1) ELSE cs::DOUBLE / (2 * seat - 1) END, cell, k) AS n FROM c4 WHERE seat > 0),
+  SELECT rank, cell, delta, row_number() OVER (PARTITION BY rank ORDER BY CASE WHEN delta > 0 THEN -cs::DOUBLE / (2 * seat - 1) ELSE cs::DOUBLE / (2 * seat - 1) END, cell * sign(delta), k) AS n FROM c4 WHERE seat > 0),
 c AS (
   SELECT rank, cell, cs, least(8 * (q + sign(delta)::BIGINT * coalesce((SELECT count(*) FROM c5 WHERE c5.rank = c3.rank AND c5.cell = c3.cell AND c5.n <= abs(c5.delta)), 0)), 3 * cs)::BIGINT AS words FROM c3),
 f AS (
