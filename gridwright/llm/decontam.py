@@ -201,7 +201,8 @@ def overlaps(text: str, index: Index, threshold: float, question: float, answer:
 
 def overlap_column(docs: DataFrame, items: DataFrame, text_col: str = "text", name: str = "hits", threshold: float = 0.5, question: float = 0.6, answer: float = 0.6, least_terms: int = 5, block_bytes: int = 16_000_000) -> DataFrame:
     """docs with an array of (item_id, score, question_overlap, answer_overlap,
-    first_word): what each document contains of the items.
+    first_word): what each document contains of the items. A column of that name
+    is replaced.
 
     items: item_id and text, or item_id, question and answer.
     """
@@ -233,7 +234,7 @@ def overlap_column(docs: DataFrame, items: DataFrame, text_col: str = "text", na
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).collect()  # block_bytes of text, about
         listed = [(r["item_id"], r["question"] or "", r["answer"] or "") if split else (r["item_id"], *question_answer(r["text"] or "")) for r in rows]
         out = against(out, spark.sparkContext.broadcast(Index(listed, least_terms)), column)
-    return out.select(*docs.columns, F.concat(*columns).alias(name))
+    return out.select(*[c for c in docs.columns if c.lower() != name.lower()], F.concat(*columns).alias(name))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -290,10 +290,14 @@ def _signal(payload: bytes | None) -> dict | None:
     return {"low": int(x.min()), "high": int(x.max()), "sum": int(x.sum(dtype=np.int64)), "crossings": int(np.count_nonzero(above[1:] != above[:-1]))}
 
 
+RESULTS = ("packets", "status", "clusters", "cues", "duration_ms", "payload", "samples")
+
+
 def demuxed(media: DataFrame, media_col: str = "media", payload: bool = True) -> DataFrame:
     """media's columns with packets (array of structs), status, clusters, cues
     (how many point at a cluster), duration_ms and, if wanted, the payload: the
-    bytes of all packets in file order, with a summary of them as 8-bit samples."""
+    bytes of all packets in file order, with a summary of them as 8-bit samples. Columns of media with
+    these names are replaced."""
     more = "packets array<struct<track:int,timestamp_ns:long,offset:long,size:long,keyframe:boolean>>, status string, clusters int, cues int, duration_ms double, payload binary, samples struct<low:int,high:int,sum:long,crossings:long>"
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,9 +324,10 @@ def demuxed(media: DataFrame, media_col: str = "media", payload: bool = True) ->
                     pa.array(payloads, pa.binary()),
                     pa.array([_signal(x) for x in payloads], SAMPLES),
                 ],
-                [*batch.schema.names, "packets", "status", "clusters", "cues", "duration_ms", "payload", "samples"],
+                [*batch.schema.names, *RESULTS],
             )
 
+    media = media.drop(*[c for c in media.columns if c.lower() in RESULTS])
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
     return media.mapInArrow(parsed, f"{own}, {more}")
 

@@ -146,7 +146,8 @@ def _judged(text: Column, spans: Column, kind: str, base: bool) -> Column:
 
 
 def propose(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the text and with ``proposed``: all spans that any pattern finds."""
+    """docs without the text and with ``proposed``: all spans that any pattern finds.
+    Columns named like results (proposed, base, spans) are replaced."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     clean = F.replace(t, F.lit(_JOIN), F.lit(_OTHER))
     dotted = F.regexp_replace(clean, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _JOIN)
@@ -162,7 +163,8 @@ def propose(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _judged(t, _found(t, t, _BARE_PHONE, digits), "phone", False),
         _judged(t, _found(t, t, _IDENTITY, digits), "id", False),
     )
-    return docs.select(*[c for c in docs.columns if c != text_col], found.alias("proposed"))
+    kept = [c for c in docs.columns if c != text_col and c.lower() not in ("proposed", "base", "spans")]
+    return docs.select(*kept, found.alias("proposed"))
 
 
 def estimate(counts: dict[str, float], rounds: int = 50) -> tuple[dict[str, float], float]:

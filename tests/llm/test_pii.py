@@ -1,0 +1,106 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from gridwright.llm.pii import estimate, find_personal_data, op9_pii
+from tests.llm.odd import collected
+
+
+def brute(text):
+    t, out = text or "", []
+    out += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        if 16 <= len(digits) <= 19 and sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return out
+
+
+def listed(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+EDGES = [
+    "a@b.c_d@e.f", "a@b.c..d@e.f. x@y", "a@b-.c.-d.", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3.0000255", "4111 1111 1111 1111 4111-1111-1111-1111", "4111  1111 1111 1111 1111", "4111111111111111+4111 1111 1111 1111 5",
+    "+1 (555) 010-9999 +12 +1234567 +12345678 +1234567890123456 +1+12345678", "\N{MUSICAL SYMBOL G CLEF}\N{LATIN SMALL LETTER E WITH ACUTE} q@w.de 10.0.0.1", "\ue000a@b\ue000c.d 41\ue0001 1",
+    "@" * 3000, "1 " * 6000 + "x", "+" + "1 " * 4000, "7" * 30_000, "a" * 30_000 + "@", ("a." * 3000) + "@" + ("b." * 3000) + "c", "-".join("4111111111111111" for _ in range(50)),
+]
+
+
+def found(spark, texts):
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "doc_id long, text string, copy string")
+    return {r.doc_id: r for r in find_personal_data(df).collect()}
+
+
+def test_base_spans_at_the_edges(spark):
+    for i, r in found(spark, EDGES).items():
+        assert [(s.kind, s.start, s.end) for s in r.base] == brute(EDGES[i]), EDGES[i][:80]
+
+
+def test_base_spans_of_random_texts(spark):
+    rng = random.Random(9)
+    pieces = ["a", "b.c", "@", ".", "..", "1", "12", "255", "256", " ", "-", "+", "4111111111111111", "(", ")", "_", "%", "x@y.zz", "10.0.0.1", "+4930123456", "\N{LATIN SMALL LETTER E WITH ACUTE}"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    for i, r in found(spark, texts).items():
+        assert [(s.kind, s.start, s.end) for s in r.base] == brute(texts[i]), texts[i]
+
+
+def test_query(spark, data, documents):
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    rows = op9_pii(spark, data).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, _, _ in base) for x in ("email", "ip", "card", "phone"))
+        assert set(listed(base).split(",")) <= set(r.spans.split(","))
+
+
+def test_added_spans(spark):
+    good = ["call me on 555-123-4567 please", "tel. (555) 123-4567", "my phone: 212 555 7890", "contact: bob (at) site (dot) com", "write to ann.lee [at] mail [dot] org", "ssn 123-45-6789"] * 20
+    plain = ["version 1.2.3.4444 of part 123-456", "chapter 10, page 123", "the number 5551234567890 stands alone", "no data here"] * 20
+    rows = found(spark, good + plain)
+    for i in range(len(good)):
+        assert len(rows[i].spans) == 1, good[i]
+        s = rows[i].spans[0]
+        assert any(c.isdigit() for c in good[i][s.start : s.end]) or "at" in good[i][s.start : s.end]
+    assert all(not rows[i].spans for i in range(len(good), len(good) + len(plain)))
+
+
+def test_em_finds_the_reliable_labelers():
+    rng = random.Random(1)
+    counts, truth = {}, {}
+    for _ in range(4000):
+        y = rng.random() < 0.3
+        votes = "".join(rng.choices(["+", "-"], [p, 1 - p] if y else [1 - p, p])[0] for p in (0.95, 0.9, 0.55))
+        counts[votes] = counts.get(votes, 0) + 1
+        truth.setdefault(votes, []).append(y)
+    q, share = estimate(counts)
+    assert abs(share - 0.3) < 0.08
+    assert all(abs(q[v] - sum(ys) / len(ys)) < 0.1 for v, ys in truth.items() if len(ys) > 100)
+    assert estimate({})[0] == {}
+
+
+def test_odd_rows(spark, odd, none):
+    got = find_personal_data(odd)
+    assert got.count() == odd.count() and "text" not in got.columns
+    by = {r.doc_id: r for r in got.collect()}
+    text = {r.doc_id: r.text for r in odd.collect()}
+    for i in (0, 1, 14, 15, 16, 17):
+        assert [(s.kind, s.start, s.end) for s in by[i].base] == brute(text[i])
+    assert {s.kind for s in by[17].base} == {"email", "ip", "card", "phone"}
+    assert collected(find_personal_data(none)) == []
+
+
+@pytest.mark.parametrize("text", [None, ""])
+def test_nothing_found(spark, text):
+    assert found(spark, [text])[0].spans == []
+
+
+def test_main_path_is_native(spark, odd):
+    plan = find_personal_data(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
