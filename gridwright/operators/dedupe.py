@@ -74,19 +74,16 @@ def detect_dup_key(grid: Grid, params: dict[str, Any], mode: str = LITERAL) -> T
     keys = [key(grid, i) for i in indices]
     out = grid
     if action in ("flag", "remove_all"):
-        names = [f"__k{i}" for i in range(len(keys))]
-        keyed = grid.df.withColumns(dict(zip(names, keys)))
+        # First positions are combined before the shuffle, and the join back is on
+        # the position, which is unique: no key's rows ever have to meet.
         position = grid.position
-        per = keyed.groupBy(*names).agg(F.min(POS).alias("__first"), F.count(F.lit(1)).alias("__n"))
+        per = grid.df.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min(POS).alias("__first"), F.count(F.lit(1)).alias("__n"))
         if action == "flag":
-            # First positions are combined before the shuffle and joined back: no key's rows have to meet.
-            per = per.select(*[F.col(n).alias(f"{n}_") for n in names], "__first")
-            joined = keyed.join(per, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names])
-            flagged = replace(grid, df=joined.drop(*[f"{n}_" for n in names], *names)).add([("is_duplicate_key", (position > F.col("__first")).cast("int"))])
+            joined = grid.df.join(per.select("__first"), position == F.col("__first"), "left")
+            flagged = replace(grid, df=joined).add([("is_duplicate_key", F.col("__first").isNull().cast("int"))])
             out = replace(flagged, df=flagged.df.drop("__first"))
         else:
-            single = per.filter("__n = 1").select(F.col("__first").alias("__at"))
-            out = replace(grid, df=grid.df.join(single, position == F.col("__at"), "left_semi"))
+            out = replace(grid, df=grid.df.join(per.filter("__n = 1").select("__first"), position == F.col("__first"), "left_semi"))
     elif action == "keep_first" or (action == "keep_last" and mode != LITERAL):
         out = one_per_key(grid, keys, action == "keep_last")
 

@@ -29,13 +29,23 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
     placed = placed.withColumns({"__pid": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
-    offsets, total = {}, 0
+    offsets, total = [], 0
     for pid, n in sorted(tuple(r) for r in placed.groupBy("__pid").count().collect()):
-        offsets[pid] = total
+        offsets.append((pid, total))
         total += n
+    # As many rows as partitions.
+    start = F.broadcast(df.sparkSession.createDataFrame(offsets, "__p int, __start long"))
+    joined = placed.join(start, F.col("__pid") == F.col("__p"))
     # The id counts rows from 0 within a partition, in its lower 33 bits.
-    start = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[F.col("__pid")] if offsets else F.lit(0)
-    return placed.withColumn(name, (start + F.col("__at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("__pid", "__at")
+    return joined.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__pid", "__at", "__p", "__start")
+
+
+def _place(x: Column, cuts: list, low: int = 0) -> Column:
+    """How many cuts lie below x, by halving: log2(len(cuts)) comparisons."""
+    if not cuts:
+        return F.lit(low)
+    middle = len(cuts) // 2
+    return F.when(x > cuts[middle], _place(x, cuts[middle + 1 :], low + middle + 1)).otherwise(_place(x, cuts[:middle], low))
 
 
 def bucketed(df: DataFrame, position: str, buckets: int | None = None) -> DataFrame:
@@ -49,9 +59,8 @@ def bucketed(df: DataFrame, position: str, buckets: int | None = None) -> DataFr
     n = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / n for i in range(1, n)]
     bounds = df.agg(F.percentile_approx(F.col(position), shares, 10_000)).first()[0] or []
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.expr("cast(array() as array<long>)")
-    below = F.size(F.filter(cuts, lambda b: b < F.col(position)))
-    return df.withColumn("__bucket", F.coalesce(below, F.lit(-1)))
+    place = _place(F.col(position), sorted(set(bounds)))
+    return df.withColumn("__bucket", F.when(F.col(position).isNotNull(), place).otherwise(-1))
 
 
 def carried(df: DataFrame, position: str, values: dict[str, tuple[Column, Column]], forward: bool = True) -> DataFrame:
