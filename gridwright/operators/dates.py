@@ -38,7 +38,7 @@ def date_ops(grid: Grid, params: dict[str, Any], mode: str = LITERAL) -> ToolRes
         value = PARTS[operation](when)
     elif operation == "extract_weekday":
         names = F.array(*[F.lit(d) for d in ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")])
-        value = F.coalesce(F.element_at(names, F.dayofweek(when)), F.lit(""))
+        value = F.when(when.isNull(), "").otherwise(F.get(names, F.coalesce(F.dayofweek(when), F.lit(1)) - 1))
     elif operation == "add_days":
         value = F.coalesce(utc_day(grid, when + F.make_dt_interval(F.lit(int_or(params, "days", 0)))), F.lit(""))
     else:
