@@ -157,7 +157,7 @@ CASES: dict[str, Case] = {
     "url_remove_any_scheme": Case("pages", "page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, '://', ' ') WHEN page_id % 3 = 1 THEN concat('mailto:', CAST(page_id AS VARCHAR(9))) ELSE url END AS u", "validate-url", {"column": "u", "action": "remove_invalid", "check_scheme": "false"}, "SELECT page_id, CASE WHEN page_id % 3 > 0 THEN u END AS u FROM t"),
     "encoding_fix": Case("documents", BLANKS, "detect-encoding", {"column": "s", "fix_encoding": "true"}, "SELECT doc_id, replace(s, '\N{REPLACEMENT CHARACTER}', '?') AS s FROM t"),
     "currency_manual": Case("orders", PRICES, "currency-convert", {"column": "x", "manual_rate": "0.92"}, "SELECT *, round(x * 0.92, 4) AS \"x_EUR\" FROM t"),
-    "currency_static": Case("orders", PRICES, "currency-convert", {"column": "x", "rate_source": "live", "to_currency": "JPY", "from_currency": "GBP"}, "SELECT *, round(x * (1.27 * 149.5), 4) AS \"x_JPY\" FROM t"),
+    "currency_static": Case("orders", PRICES, "currency-convert", {"column": "x", "rate_source": "live", "to_currency": "IRR", "from_currency": "CNY"}, "SELECT *, round(x * (CAST(0.138 AS DOUBLE) * CAST(42000 AS DOUBLE)), 4) AS \"x_IRR\" FROM t"),
     "unit_length": Case("lineitem", "l_orderkey, l_quantity AS x", "unit-convert", {"column": "x", "from_unit": "mi", "to_unit": "km"}, "SELECT *, round(x * 1609.344 / 1000, 6) AS x_km FROM t"),
     "unit_mass": Case("lineitem", "l_orderkey, l_quantity AS x", "unit-convert", {"column": "x", "category": "mass", "from_unit": "lb", "to_unit": "g"}, "SELECT *, round(x * 0.453592 / 0.001, 6) AS x_g FROM t"),
     "unit_temperature": Case("lineitem", "l_orderkey, l_quantity AS x", "unit-convert", {"column": "x", "category": "temperature", "from_unit": "F", "to_unit": "C"}, "SELECT *, round((x - 32) * 5 / 9, 6) AS \"x_C\" FROM t"),
