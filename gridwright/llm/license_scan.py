@@ -207,8 +207,10 @@ def scan_text(text: str, templates: Templates) -> list[tuple[str, float, int, in
             found.append((best[1], best[0], a, b))
     found.sort(key=lambda f: (-f[1], -(f[3] - f[2]), f[2], f[0]))
     kept: list[tuple[str, float, int, int]] = []
+    covered = np.zeros(len(lines), dtype=bool)
     for f in found:
-        if all(f[3] < k[2] or k[3] < f[2] for k in kept):
+        if not covered[f[2] : f[3] + 1].any():
+            covered[f[2] : f[3] + 1] = True
             kept.append(f)
     return sorted(kept, key=lambda f: f[2])
 

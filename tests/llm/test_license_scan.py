@@ -35,6 +35,12 @@ def test_lines_of_notices():
     assert scan_text("the licence of the author is the text of the work", KNOWN) == []
 
 
+def test_very_many_notices():
+    text = "\n".join(["Released under the MIT License.", "and so on with others"] * 20_000)
+    got = scan_text(text, KNOWN)
+    assert len(got) == 20_000 and got[7] == ("MIT", 1.0, 14, 14)
+
+
 def test_odd_rows(odd, none, spark):
     got = collected(scan_licenses(odd), "doc_id", "license", "dice", "first_line", "last_line")
     assert got == [(18, "MIT", 1.0, 0, 0)]
