@@ -1,15 +1,16 @@
 """Preference formatting: a prompt rendered once, and two masked completions.
 
-A pair is a chosen and a rejected conversation under one pair_id. Their turns
-meet by (pair, turn); the smallest turn at which they differ ends the common
-prefix. Turns before it are the prompt, the rest of each side its completion.
+A pair is a chosen and a rejected conversation under one pair_id. The turns of
+both sides are brought together by (pair, turn) in one aggregate, which also
+combines repeated rows before the shuffle; a turn that is the same on both sides
+travels once. The smallest turn at which the sides differ ends the common
+prefix: turns before it are the prompt, the rest of each side its completion.
 Only what an assistant says (with the mark that ends it) is trained on: the
 masks list those character ranges, end exclusive, of each completion.
 
-Turns are joined and aggregated, never collected by conversation: a pair's
-strings are put together in parts of ``turns_per_part`` turn numbers, and a
-longer conversation fills several rows, whose strings in part order make up the
-whole. Ordinary conversations have part 0 only.
+A pair's strings are put together in parts of ``turns_per_part`` turn numbers,
+so memory is bounded by a part: a longer conversation fills several rows, whose
+strings in part order make up the whole. Ordinary ones have part 0 only.
 
 Defined results: repeated rows for one pair, side and turn count once (the least
 role and text of them); a null role is ``unknown``; null texts are empty; rows
@@ -21,7 +22,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.llm.common import table
@@ -30,81 +31,84 @@ from gridwright.llm.common import table
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def _turns(side: DataFrame, name: str) -> DataFrame:
-    said = F.min(F.struct(F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias(name)
-    return side.filter("pair_id is not null and turn is not null").groupBy("pair_id", "turn").agg(said)
+def _tidy(c: Column) -> Column:
+    return F.replace(c, F.lit("<|"), F.lit("< |"))
 
 
-def _rendered(said: Column) -> Column:
-    tidy = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
-    return F.struct((said["role"] == "assistant").alias("train"), F.concat(F.lit(OPEN), tidy(said["role"]), F.lit("\n")).alias("head"), F.concat(tidy(said["text"]), F.lit(CLOSE)).alias("body"))
+def _head(said: Column) -> Column:
+    return F.concat(F.lit(OPEN), _tidy(said["role"]), F.lit("\n"))
 
 
-def _present(name: str) -> Column:
-    return F.filter("lines", lambda t: t[name].isNotNull())
+def _body(said: Column) -> Column:
+    return F.concat(_tidy(said["text"]), F.lit(CLOSE))
 
 
-def _joined(turns: Column, name: str) -> Column:
-    return F.array_join(F.transform(turns, lambda t: F.concat(t[name]["head"], t[name]["body"], F.lit("\n"))), "")
+def _joined(said: Column) -> Column:
+    return F.array_join(F.transform(said, lambda t: F.concat(_head(t), _body(t), F.lit("\n"))), "")
 
 
-def _mask(turns: Column, name: str) -> Column:
-    """Ranges start:end of the trained bodies in the joined string, by comma."""
+def _mask(said: Column) -> Column:
+    """Ranges start:end of the assistant's bodies in the joined string, by comma."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def more(acc: Column, t: Column) -> Column:
-        begin = acc["at"] + F.length(t[name]["head"])
-        end = begin + F.length(t[name]["body"])
+        begin = acc["at"] + F.length(_head(t))
+        end = begin + F.length(_body(t))
         span = F.concat(F.when(acc["out"] == "", "").otherwise(","), begin.cast("string"), F.lit(":"), end.cast("string"))
-        return F.struct((end + 1).alias("at"), F.when(t[name]["train"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return F.struct((end + 1).alias("at"), F.when(t["role"] == "assistant", F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(said, start, more, lambda acc: acc["out"])
+
+
+def format_sides(turns: DataFrame, turns_per_part: int = 4096) -> DataFrame:
+    """As format_preferences, from one table of pair_id, turn, side, role, text;
+    side is chosen, rejected, or both for turns that the sides share."""
+    said = F.struct(F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    one = turns.filter("pair_id is not null and turn is not null").groupBy("pair_id", "turn")
+    sides = one.agg(F.min(F.when(F.col("side") != "rejected", said)).alias("c"), F.min(F.when(F.col("side") != "chosen", said)).alias("r"))
+    differs = ~F.col("c").eqNullSafe(F.col("r"))
+    lines = sides.select("pair_id", "turn", "c", F.when(differs, F.col("r")).alias("r"), differs.alias("differs"))
+    # Dealt by pair once; grouping by part and the running cut both keep that.
+    part = F.floor(F.col("turn") / F.lit(turns_per_part)).cast("long")
+    parts = lines.withColumn("part", part).repartition("pair_id").groupBy("pair_id", "part")
+    parts = parts.agg(F.array_sort(F.collect_list(F.struct("turn", "c", "r", "differs"))).alias("lines"), F.min(F.when(F.col("differs"), F.col("turn"))).alias("here"))
+    parts = parts.withColumn("cut", F.min("here").over(Window.partitionBy("pair_id").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    common, rest = F.filter("lines", _before), F.filter("lines", lambda t: ~_before(t))
+    prompt = F.transform(common, lambda t: t["c"])
+    chosen = F.filter(F.transform(rest, lambda t: t["c"]), lambda t: t.isNotNull())
+    rejected = F.filter(F.transform(rest, lambda t: F.when(t["differs"], t["r"]).otherwise(t["c"])), lambda t: t.isNotNull())
+    return parts.select(
+        "pair_id", "part", F.size(prompt).alias("prompt_turns"), _joined(prompt).alias("prompt"), _joined(chosen).alias("chosen"), _joined(rejected).alias("rejected"),
+        _mask(chosen).alias("chosen_mask"), _mask(rejected).alias("rejected_mask"),
+    )
+
 
-    return F.aggregate(turns, start, more, lambda acc: acc["out"])
+def _before(line: Column) -> Column:
+    return F.coalesce(line["turn"] < F.col("cut"), F.lit(True))
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame, turns_per_part: int = 4096) -> DataFrame:
     """pair_id, part, prompt_turns, prompt, chosen, rejected, chosen_mask and
     rejected_mask from two tables of pair_id, turn, role, text."""
-    both = _turns(chosen, "c").join(_turns(rejected, "r"), ["pair_id", "turn"], "full")
-    cut = both.groupBy(F.col("pair_id").alias("p")).agg(F.min(F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("turn"))).alias("cut"))
-    both = both.join(cut, F.col("pair_id") == F.col("p"))
-    common = F.col("cut").isNull() | (F.col("turn") < F.col("cut"))
-    lines = both.select(
-        "pair_id",
-        F.floor(F.col("turn") / F.lit(turns_per_part)).cast("long").alias("part"),
-        F.struct(
-            "turn",
-            F.when(common, _rendered(F.col("c"))).alias("prompt"),
-            F.when(~common & F.col("c").isNotNull(), _rendered(F.col("c"))).alias("chosen"),
-            F.when(~common & F.col("r").isNotNull(), _rendered(F.col("r"))).alias("rejected"),
-        ).alias("line"),
-    )
-    parts = lines.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    side = {n: _present(n) for n in ("prompt", "chosen", "rejected")}
-    return parts.select(
-        "pair_id",
-        "part",
-        F.size(side["prompt"]).alias("prompt_turns"),
-        *[_joined(side[n], n).alias(n) for n in side],
-        _mask(side["chosen"], "chosen").alias("chosen_mask"),
-        _mask(side["rejected"], "rejected").alias("rejected_mask"),
-    )
-
-
-def swapped_reply_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs for training where no rated ones exist: chosen is each conversation
-    up to its last assistant turn; rejected ends with the last reply of its
-    neighbour (conv_id with the last bit flipped) instead, or an empty one."""
-    turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").filter("pair_id is not null and turn is not null")
-    turns = turns.groupBy("pair_id", "turn").agg(F.min(F.struct("role", "text")).alias("s")).select("pair_id", "turn", "s.role", "s.text")
-    last = turns.filter("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("l"))
-    last = last.select("pair_id", F.col("l.turn").alias("last_turn"), F.col("l.text").alias("reply"))
-    other = last.select(F.expr("pair_id ^ 1").alias("pair_id"), F.col("reply").alias("wrong"))
-    ends = last.select("pair_id", "last_turn").join(other, "pair_id", "left")
-    chosen = turns.join(ends, "pair_id").filter("turn <= last_turn")
-    rejected = chosen.withColumn("text", F.when(F.col("turn") == F.col("last_turn"), F.coalesce("wrong", F.lit(""))).otherwise(F.col("text")))
     names = ["pair_id", "turn", "role", "text"]
-    return chosen.select(names), rejected.select(names)
+    both = chosen.select(*names, F.lit("chosen").alias("side")).union(rejected.select(*names, F.lit("rejected").alias("side")))
+    return format_sides(both, turns_per_part)
+
+
+def swapped_reply_turns(conversations: DataFrame) -> DataFrame:
+    """Pairs for training where no rated ones exist, as format_sides reads them:
+    chosen is each conversation up to its last assistant turn; rejected ends with
+    the last reply of its neighbour (conv_id with the last bit flipped) instead,
+    or an empty one. Of several replies in that turn the greatest text counts."""
+    turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").filter("pair_id is not null and turn is not null")
+    replies = turns.filter("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("l"))
+    # Without its text: the conversations are joined with numbers only.
+    last = turns.filter("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("last_turn"))
+    kept = turns.join(last, "pair_id").filter("turn <= last_turn")
+    own = kept.select("pair_id", "turn", "role", "text", F.when(F.col("turn") == F.col("last_turn"), "chosen").otherwise("both").alias("side"))
+    wrong = last.join(replies.select(F.expr("pair_id ^ 1").alias("pair_id"), "l.text"), "pair_id", "left")
+    return own.union(wrong.select("pair_id", F.col("last_turn").alias("turn"), F.lit("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.lit("rejected").alias("side")))
 
 
 def op7_preference_format(spark, sf_dir: str) -> DataFrame:
-    return format_preferences(*swapped_reply_pairs(table(spark, sf_dir, "conversations")))
+    return format_sides(swapped_reply_turns(table(spark, sf_dir, "conversations")))

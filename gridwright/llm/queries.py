@@ -88,7 +88,7 @@ _OP7 = r"""
 WITH t AS (
   SELECT conv_id, turn, (min({'role': role, 'text': text})) AS s FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
 l AS (
-  SELECT conv_id, max(turn) AS last_turn, arg_max(s.text, turn) AS reply FROM t WHERE s.role = 'assistant' GROUP BY conv_id),
+  SELECT conv_id, max(turn) AS last_turn, max({'turn': turn, 'text': coalesce(text, '')}).text AS reply FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
 p AS (
   SELECT l.conv_id, l.last_turn, o.reply AS wrong FROM l LEFT JOIN l o ON o.conv_id = xor(l.conv_id, 1::BIGINT)),
 b AS (
