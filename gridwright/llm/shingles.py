@@ -21,7 +21,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word, remembered for up to ``most`` words."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
