@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,14 +186,29 @@ def read_range(grid: Grid, columns: Sequence[int], first: int, last: int) -> Gri
     return Grid(df, tuple(headers), tuple(names), True)
 
 
-def write_files(grid: Grid, path: str, kind: str = "parquet", mode: str = "overwrite", sort: bool = False, **options: Any) -> None:
-    grid.frame(sort).write.format(kind).mode(mode).options(**options).save(path)
+def _counted(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
+    """df, and the number of its rows once an action has gone over it."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), lambda: seen.get["n"]
 
 
-def add_sheet(grid: Grid, name: str) -> str:
-    """Create the sheet anew, whether or not one of that name exists."""
-    grid.frame().write.mode("overwrite").saveAsTable(name)
-    return name
+def write_files(grid: Grid, path: str, kind: str = "parquet", mode: str = "overwrite", sort: bool = False, **options: Any) -> int:
+    """Write the visible columns; returns the number of rows, counted on the way."""
+    df, rows = _counted(grid.frame(sort))
+    df.write.format(kind).mode(mode).options(**options).save(path)
+    return rows()
+
+
+def add_sheet(grid: Grid, name: str, sort: bool = False) -> dict[str, Any]:
+    """Create the sheet anew, whether or not one of that name exists. A grid that
+    reads the sheet it replaces is written beside it first."""
+    spark = grid.spark
+    df, rows = _counted(grid.frame(sort))
+    fresh = f"{name}__new"
+    df.write.mode("overwrite").saveAsTable(fresh)
+    spark.sql(f"DROP TABLE IF EXISTS {quoted(name)}")
+    spark.sql(f"ALTER TABLE {quoted(fresh)} RENAME TO {quoted(name)}")
+    return {"sheet": name, "rows_written": rows()}
 
 
 def _values(grid: Grid, name: str, values: Sequence[Any]) -> DataFrame:

@@ -59,11 +59,11 @@ def test_files_and_sheets(spark, tmp_path, text_grid, cells):
     g.write_files(grid, str(tmp_path / "c"), "csv", header=True)
     back = g.read_files(spark, str(tmp_path / "c"), "csv")
     assert sorted(r[0] for r in back.df.select("a").collect()) == [" 2", "1"] or sorted(r[0].strip() for r in back.df.select("a").collect()) == ["1", "2"]
-    g.write_files(grid, str(tmp_path / "p"))
+    assert g.write_files(grid, str(tmp_path / "p")) == 2
     assert g.read_files(spark, str(tmp_path / "p")).df.count() == 2
     g.write_files(grid, str(tmp_path / "j"), "json")
     assert g.read_files(spark, str(tmp_path / "j"), "json").df.schema["a"].dataType.simpleString() == "string"
-    assert g.add_sheet(grid, "some_sheet") == "some_sheet"
+    assert g.add_sheet(grid, "some_sheet") == {"sheet": "some_sheet", "rows_written": 2}
     g.add_sheet(grid.keep([0]), "some_sheet")
     assert "some_sheet" in g.sheet_names(spark)
     assert g.read_sheet(spark, "some_sheet").headers == ("a",)
