@@ -1,25 +1,30 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
 Texts are normalised (lower case, words of letters and digits, copyright lines
-left out). Lines are the smallest units; neighbouring lines that mostly consist
-of template bigrams join into a region, blank lines between them included, and
-the whole text is a unit too. A unit can only reach a Dice coefficient of t
-against a template if its size is between t/(2-t) and (2-t)/t times the
-template's, and if enough of its bigrams occur in any template at all; the few
-templates left are compared exactly, as multisets. The best template of a unit
-is reported, and overlapping units give way to the better one.
+left out). A unit is any run of words at least as long as the template it is
+compared with, wherever it begins and ends, or a shorter one that begins and ends
+with a line or a sentence: a short run cut out of a sentence could leave out just
+the words that tell licences apart. A unit of n bigrams has a Dice coefficient of
+t against a template of m only if n is between t/(2-t) and (2-t)/t times m, so
+t/(2-t) times m of the template's bigrams have to stand that close together; the
+few places left are compared exactly, as multisets, from every bigram of the
+template on. Of units that overlap the one stays that exceeds the threshold by
+most bigrams, so an altered licence isn't given up for a short notice inside it.
 
 One narrow pass over whole texts. The templates are a fixed list; a caller's own
 list is broadcast after a check of its size.
 
 Defined results: null, empty and blank texts, and texts without a match, give no
-row; equal texts give equal rows; ties go to the longer unit, then to the first
-template by name; an empty table gives an empty result; extra columns are ignored.
+row; equal texts give equal rows; several matches can stand on one line; ties go
+to the longer unit, then to the first one, then to the first template by name; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -106,6 +111,7 @@ for _name, _said in [
         TEMPLATES.append((_name, _way.format(_said)))
 
 _WORD = re.compile(r"[^\W_]+")
+_WORD_OR_END = re.compile(r"[^\W_]+|[.!?;:](?=\s)")
 
 
 def words_of(text: str) -> list[str]:
@@ -144,15 +150,46 @@ class Templates:
                     self.ids.setdefault(w, len(self.ids) + 1)
         n = self.width = len(self.ids) + 1
         self.known = np.unique([self.ids[a] * n + self.ids[b] for _, _, g in self.rows for a, b in g]) if self.rows else np.empty(0, dtype=np.int64)
-
-    def hits(self, words: list[str]) -> np.ndarray:
-        """Of each bigram, whether any template has it."""
+        # Of each template its bigrams, by number, and how often it has them; and the same by bigram.
+        self.grams: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+        for _, _, g in self.rows:
+            code = np.array([self.ids[a] * n + self.ids[b] for a, b in g], dtype=np.int64)
+            order = np.argsort(code)
+            self.grams.append(np.searchsorted(self.known, code[order]))
+            self.times.append(np.fromiter(g.values(), dtype=np.int64, count=len(g))[order])
+        of = np.concatenate(self.grams) if self.rows else np.empty(0, dtype=np.int64)
+        order = np.argsort(of, kind="stable")
+        self.first = np.searchsorted(of[order], np.arange(len(self.known) + 1))
+        self.holders = np.repeat(np.arange(len(self.rows)), [len(g) for g in self.grams])[order]
+        self.held = np.concatenate(self.times)[order] if self.rows else of
+        # Bigrams of the template that a unit needs, and bigrams that it has at most.
+        self.least = np.ceil(self.sizes * threshold / (2 - threshold) - 1e-9).astype(np.int64)
+        self.most = np.floor(self.sizes * (2 - threshold) / threshold + 1e-9).astype(np.int64)
+        self.bounds = sorted({(int(k), int(m)) for k, m in zip(self.least, self.most)})
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The number of each bigram; -1 if no template has it."""
         w = np.fromiter((self.ids.get(x, 0) for x in words), dtype=np.int64, count=len(words))
         code = w[:-1] * self.width + w[1:]
         if not len(self.known):
-            return np.zeros(len(code), dtype=bool)
+            return np.full(len(code), -1)
         at = np.minimum(np.searchsorted(self.known, code), len(self.known) - 1)
-        return (self.known[at] == code) & (w[:-1] > 0) & (w[1:] > 0)
+        return np.where((self.known[at] == code) & (w[:-1] > 0) & (w[1:] > 0), at, -1)
+
+    def hits(self, words: list[str]) -> np.ndarray:
+        """Of each bigram, whether any template has it."""
+        return self.look_up(words) >= 0
+
+    def near(self, at: np.ndarray, gram: np.ndarray) -> list[int]:
+        """Templates that can be in a text with these bigrams, at these places."""
+        if not any(len(at) >= k and (at[k - 1 :] - at[: len(at) - k + 1] < most).any() for k, most in self.bounds):
+            return []
+        distinct, times = np.unique(gram, return_counts=True)
+        n = self.first[distinct + 1] - self.first[distinct]
+        flat = np.repeat(self.first[distinct] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        have = np.bincount(self.holders[flat], np.minimum(self.held[flat], np.repeat(times, n)), len(self.rows))
+        return np.flatnonzero(have >= self.least).tolist()
 
     def best(self, words: list[str], hits: int) -> tuple[float, str] | None:
         n, t = len(words) - 1, self.threshold
@@ -171,6 +208,64 @@ class Templates:
         return found
 
 
+class Places:
+    """The places of one template's bigrams in a text, and the best unit from each."""
+
+    def __init__(self, templates: Templates, number: int, at: np.ndarray, gram: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> None:
+        self.size, self.name, _ = templates.rows[number]
+        self.threshold, self.opens = templates.threshold, opens
+        own, times = templates.grams[number], templates.times[number]
+        i = np.minimum(np.searchsorted(own, gram), len(own) - 1)
+        here = own[i] == gram
+        self.at, i = at[here], i[here]
+        self.closes = closes[self.at + 1]
+        # A bigram counts unless the template's number of them stands before it in the unit: the last that is one too many.
+        order, n = np.argsort(i, kind="stable"), np.arange(len(i))
+        before = n - times[i[order]]
+        same = (before >= 0) & (i[order][before] == i[order])
+        self.before = np.full(len(i), -1)
+        self.before[order[same]] = order[before[same]]
+        self.stop = np.searchsorted(self.at, self.at + templates.most[number])
+        # Neither repeated bigrams nor words around them count in this bound.
+        reach = 2 * (n + 1) - self.threshold * self.at
+        top = np.maximum.accumulate(reach[::-1])[::-1] - 2 * n + self.threshold * self.at
+        self.starts = np.flatnonzero((self.stop - n >= templates.least[number]) & (top >= self.threshold * (self.size + 1) - 1e-9)).tolist()
+
+    def best(self, i: int, limit: int | None = None) -> tuple | None:
+        """Excess, Dice, and first and last word of the best unit from place i on and before word limit."""
+        stop = self.stop[i] if limit is None else min(self.stop[i], np.searchsorted(self.at, limit - 1))
+        if stop <= i:
+            return None
+        first = self.at[i]
+        both = np.cumsum(self.before[i:stop] < i)
+        n = np.minimum(self.closes[i:stop] - self.opens[first], np.maximum(self.at[i:stop] - first + 1, self.size))
+        over = 2 * both - self.threshold * (n + self.size)
+        j = len(over) - 1 - int(over[::-1].argmax())
+        if over[j] < -1e-9:
+            return None
+        return float(over[j]), 2 * int(both[j]) / int(n[j] + self.size), int(first), int(self.at[i + j]) + 1
+
+
+def edges(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of n words, the word that its line's or sentence's part begins and ends with."""
+    opens, closes = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    first = i = 0
+
+    def close() -> None:
+        nonlocal first
+        opens[first:i], closes[first:i] = first, i - 1
+        first = i
+
+    for line in lines:
+        for x in _WORD_OR_END.findall(line):
+            if x in ".!?;:":
+                close()
+            else:
+                i += 1
+        close()
+    return opens, closes
+
+
 def scan_text(text: str, templates: Templates) -> list[tuple[str, float, int, int]]:
     """licence, Dice coefficient, first and last line (from 0) of each match."""
     lines = text.lower().split("\n")
@@ -179,40 +274,38 @@ def scan_text(text: str, templates: Templates) -> list[tuple[str, float, int, in
     everything = [x for w in words for x in w]
     if len(everything) < 2:
         return []
-    hit = templates.hits(everything)
-    if not hit.any():
+    gram = templates.look_up(everything)
+    at = np.flatnonzero(gram >= 0)
+    gram = gram[at]
+    near = templates.near(at, gram)
+    if not near:
         return []
-    total = np.r_[0, np.cumsum(hit)]
-    ends = np.cumsum([len(w) for w in words]).tolist()
-    starts = [e - len(w) for e, w in zip(ends, words)]
-    inside = [int(total[max(s, e - 1)] - total[s]) if e > s else 0 for s, e in zip(starts, ends)]
-    units = {(0, len(lines) - 1)}
-    units.update((i, i) for i, n in enumerate(inside) if n)
-    first = last = None
-    for i, (s, e) in enumerate(zip(starts, ends)):
-        if e == s:
+    opens, closes = edges([x if w else "" for x, w in zip(lines, words)], len(everything))
+    places = [Places(templates, number, at, gram, opens, closes) for number in near]
+    heap: list[tuple] = []
+
+    def offer(k: int, i: int, limit: int | None = None) -> None:
+        if found := places[k].best(i, limit):
+            over, score, a, b = found
+            heapq.heappush(heap, (-round(over, 9), a - b, a, places[k].name, k, i, b, score))
+
+    for k, p in enumerate(places):
+        for i in p.starts:
+            offer(k, i)
+    ends = np.cumsum([len(w) for w in words])
+    kept: list[tuple[int, int]] = []  # words, in order
+    out = []
+    while heap:
+        _, _, a, name, k, i, b, score = heapq.heappop(heap)
+        n = bisect_right(kept, (a, len(everything)))
+        if n and kept[n - 1][1] >= a:
+            continue
+        if n < len(kept) and kept[n][0] <= b:
+            offer(k, i, kept[n][0])  # what ends before that one
             continue
-        if 2 * inside[i] >= max(1, e - s - 1):
-            first = i if first is None else first
-            last = i
-        elif first is not None:
-            units.add((first, last))
-            first = None
-    if first is not None:
-        units.add((first, last))
-    found = []
-    for a, b in sorted(units):
-        s, e = starts[a], ends[b]
-        if e - s > 1 and (best := templates.best(everything[s:e], int(total[e - 1] - total[s]))):
-            found.append((best[1], best[0], a, b))
-    found.sort(key=lambda f: (-f[1], -(f[3] - f[2]), f[2], f[0]))
-    kept: list[tuple[str, float, int, int]] = []
-    covered = np.zeros(len(lines), dtype=bool)
-    for f in found:
-        if not covered[f[2] : f[3] + 1].any():
-            covered[f[2] : f[3] + 1] = True
-            kept.append(f)
-    return sorted(kept, key=lambda f: f[2])
+        insort(kept, (a, b))
+        out.append((a, (name, score, int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b, "right")))))
+    return [f for _, f in sorted(out)]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, most_template_bytes: int = 32_000_000) -> DataFrame:

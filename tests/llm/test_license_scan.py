@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from gridwright.llm.license_scan import TEMPLATES, Templates, dice, scan_licenses, scan_text, words_of
@@ -48,3 +49,60 @@ def test_odd_rows(odd, none, spark):
     own = scan_licenses(odd, templates=[("own", "some words here"), ("empty", ""), ("one", "word")])
     assert collected(own, "doc_id", "license", "first_line") == [(18, "own", 2)]
     assert scan_licenses(odd, templates=[]).count() == 0
+
+
+def whole(name):
+    return next(t for n, t in TEMPLATES if n == name)
+
+
+def test_licences_one_after_another():
+    """Under two holders, of two kinds, and run together on one line."""
+    mit, bsd = whole("MIT"), whole("BSD-2-Clause")
+    assert scan_text(f"Copyright (c) 2020 A\n\n{mit}\n\nCopyright (c) 2021 B\n\n{mit}", KNOWN) == [("MIT", 1.0, 2, 6), ("MIT", 1.0, 10, 14)]
+    assert [g[:2] for g in scan_text(f"{mit}\n\n{bsd}", KNOWN)] == [("MIT", 1.0), ("BSD-2-Clause", 1.0)]
+    line = " ".join(f"some words {mit} others {bsd} and a third {mit} at the end".split())
+    assert scan_text(line, KNOWN) == [("MIT", 1.0, 0, 0), ("BSD-2-Clause", 1.0, 0, 0), ("MIT", 1.0, 0, 0)]
+
+
+def test_one_word_lines_do_not_end_a_licence():
+    w = whole("MIT").split()
+    for cut in (40, 80, 120):
+        text = "\n".join([" ".join(w[:cut]), w[cut], "", " ".join(w[cut + 1 :])])
+        assert scan_text(text, KNOWN) == [("MIT", 1.0, 0, 3)]
+
+
+def test_notices_inside_a_line():
+    text = "This page, with others, is released under the MIT License. The photographs are licensed under CC BY-SA 4.0 and stay with their authors."
+    assert scan_text(text, KNOWN) == [("MIT", 1.0, 0, 0), ("CC-BY-SA-4.0", 1.0, 0, 0)]
+    assert scan_text("Note that this work is licensed under the following terms, which nobody else has.", KNOWN) == []
+
+
+def test_altered_licence_stays_whole():
+    text = whole("Apache-2.0").replace("governing", "ruling").replace("distributed on", "given out on")
+    assert [(g[0], g[2], g[3]) for g in scan_text(text, KNOWN)] == [("Apache-2.0", 0, 4)]
+
+
+def test_units_against_all_runs_of_words():
+    """A text has a match where any run of words has one, and only there."""
+    rng = random.Random(3)
+    for threshold in (0.6, 0.8):
+        own = [(f"t{i}", " ".join(rng.choice("abcd") for _ in range(n))) for i, n in enumerate((3, 5, 8, 12))]
+        known, hits = Templates(own, threshold), 0
+        for _ in range(1500):
+            parts = [[rng.choice("abcdxyz") for _ in range(rng.randrange(1, 7))] for _ in range(rng.randrange(1, 5))]
+            text = "".join(" ".join(p) + rng.choice([".\n", "\n", ". ", "\n\n"]) for p in parts)
+            words = [w for p in parts for w in p]
+            ends = [sum(map(len, parts[: i + 1])) for i in range(len(parts))]
+            opens = {0, *ends}
+            want = False
+            for a in range(len(words)):
+                for b in range(a + 2, len(words) + 1):
+                    run = Counter(zip(words[a:b], words[a + 1 : b]))
+                    for _, t in own:
+                        grams = Counter(zip(t.split(), t.split()[1:]))
+                        if b - a >= len(t.split()) or (a in opens and b in ends):
+                            want |= dice(run, grams) >= threshold - 1e-9
+            got = scan_text(text, known)
+            assert bool(got) == want, text
+            hits += want
+        assert 20 < hits < 1480
