@@ -1,7 +1,9 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-Texts are normalised (lower case, words of letters and digits, copyright lines
-left out). A unit is any run of words at least as long as the template it is
+Texts are normalised (lower case, words of letters and digits; on a line that
+begins with a copyright statement, the statement is left out: years and holder up
+to the end of the sentence, to a template's first words, or to twelve words of
+holder). A unit is any run of words at least as long as the template it is
 compared with, wherever it begins and ends, or a shorter one that begins and ends
 with a line or a sentence: a short run cut out of a sentence could leave out just
 the words that tell licences apart. A unit of n bigrams has a Dice coefficient of
@@ -112,16 +114,38 @@ for _name, _said in [
 
 _WORD = re.compile(r"[^\W_]+")
 _WORD_OR_END = re.compile(r"[^\W_]+|[.!?;:](?=\s)")
+# The word is part of the licence before some others: lines can be wrapped there.
+_COPYRIGHT = re.compile(r"[\W_]*copyright(?![^\W_])(?!\W*$)(?!\W+(?:notices?|holders?|owners?|laws?|licen[sc]es?|statements?)(?![^\W_]))(?:[\W_]*(?:\(c\)|©|c(?![^\W_])|\d{4}(?![^\W_])|present(?![^\W_])|by(?![^\W_])))*")
+_RIGHTS = re.compile(r"[\W_]*all rights reserved(?![^\W_])")
+
+
+def unstated(line: str, first: frozenset[tuple[str, str]] = frozenset(), most: int = 12) -> str:
+    """A line in lower case from behind its copyright statements on. first: pairs
+    of words that begin a template, where a holder ends at the latest."""
+    while stated := _COPYRIGHT.match(line):
+        at, held, last = stated.end(), 0, None
+        for x in _WORD_OR_END.finditer(line, at):
+            if x[0] in ".!?;:":
+                at = x.end()
+                break
+            if last and (last[0], x[0]) in first:
+                at = last.start()
+                break
+            if held == most:
+                at = x.start()
+                break
+            held, last = held + 1, x
+        else:
+            return ""
+        line = line[at:]
+        if rights := _RIGHTS.match(line):
+            line = line[rights.end() :]
+    return line
 
 
 def words_of(text: str) -> list[str]:
-    """Normalised words; lines that state a copyright don't count."""
-    out: list[str] = []
-    for line in text.lower().split("\n"):
-        words = _WORD.findall(line)
-        if words[:1] != ["copyright"]:
-            out += words
-    return out
+    """Normalised words; copyright statements at the start of lines don't count."""
+    return [x for line in text.lower().split("\n") for x in _WORD.findall(unstated(line))]
 
 
 def dice(a: Counter, b: Counter) -> float:
@@ -136,11 +160,13 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, str]], threshold: float) -> None:
         self.threshold = threshold
-        rows = []
+        rows, first = [], set()
         for name, text in templates:
             w = words_of(text)
             if len(w) > 1:
+                first.add((w[0], w[1]))
                 rows.append((len(w) - 1, name, Counter(zip(w, w[1:]))))
+        self.opening = frozenset(first)
         self.rows = sorted(rows, key=lambda r: r[:2])
         self.sizes = np.array([r[0] for r in self.rows])
         self.ids: dict[str, int] = {}
@@ -268,9 +294,8 @@ def edges(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def scan_text(text: str, templates: Templates) -> list[tuple[str, float, int, int]]:
     """licence, Dice coefficient, first and last line (from 0) of each match."""
-    lines = text.lower().split("\n")
+    lines = [unstated(x, templates.opening) for x in text.lower().split("\n")]
     words = [_WORD.findall(x) for x in lines]
-    words = [[] if w[:1] == ["copyright"] else w for w in words]
     everything = [x for w in words for x in w]
     if len(everything) < 2:
         return []
@@ -280,7 +305,7 @@ def scan_text(text: str, templates: Templates) -> list[tuple[str, float, int, in
     near = templates.near(at, gram)
     if not near:
         return []
-    opens, closes = edges([x if w else "" for x, w in zip(lines, words)], len(everything))
+    opens, closes = edges(lines, len(everything))
     places = [Places(templates, number, at, gram, opens, closes) for number in near]
     heap: list[tuple] = []
 

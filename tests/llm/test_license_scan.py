@@ -106,3 +106,25 @@ def test_units_against_all_runs_of_words():
             assert bool(got) == want, text
             hits += want
         assert 20 < hits < 1480
+
+
+def test_copyright_lines_keep_the_rest():
+    mit, bsd = whole("MIT"), whole("BSD-3-Clause")
+    assert scan_text("Copyright 2020 X. Released under the MIT License.", KNOWN) == [("MIT", 1.0, 0, 0)]
+    assert scan_text("Copyright 2020 X Released under the MIT License.", KNOWN) == [("MIT", 1.0, 0, 0)]
+    assert scan_text(" ".join(f"Copyright (c) 2020 X {mit}".split()), KNOWN) == [("MIT", 1.0, 0, 0)]
+    long = "Copyright \xa9 2019-2021, 2023 by Someone & Others, Inc. All rights reserved. Copyright 2001 Y. All rights reserved."
+    assert scan_text(" ".join(f"{long} {bsd}".split()), KNOWN) == [("BSD-3-Clause", 1.0, 0, 0)]
+    # A holder without an end: a bounded number of words is left out.
+    altered = "Copyright 2020 X Hereby permission " + mit.split(" ", 1)[1]
+    assert scan_text(" ".join(altered.split()), KNOWN)[0][0] == "MIT"
+    # Statements alone on a line don't count, wherever they stand.
+    first, _, rest = mit.partition("\n\n")
+    assert scan_text(f"{first}\n  Copyright (c) 2020 Someone Of That Name\n* Copyright 2021 Others. All rights reserved.\n{rest}", KNOWN) == [("MIT", 1.0, 0, 5)]
+
+
+def test_a_line_wrapped_before_copyright():
+    w = whole("MIT").split()
+    assert scan_text("\n".join(w), KNOWN) == [("MIT", 1.0, 0, len(w) - 1)]
+    text = whole("BSD-3-Clause").replace(" copyright ", "\ncopyright ").replace(" COPYRIGHT ", "\nCOPYRIGHT ")
+    assert [g[:2] for g in scan_text(text, KNOWN)] == [("BSD-3-Clause", 1.0)]
