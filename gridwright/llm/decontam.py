@@ -18,8 +18,13 @@ One narrow pass over whole texts with a broadcast index. Items are indexed in
 blocks of at most ``block_bytes`` of text, one pass for each block, so the
 broadcast is bounded whatever the size of the benchmark.
 
-Defined results: null or empty texts, and items with fewer than ``least_terms``
-word pairs, match nothing; equal items are all reported; equal texts get equal
+Items with fewer than ``least_terms`` distinct word pairs can't be told by overlap:
+they are found as exact sequences of words, with a score and overlaps of 1, first
+place first; an item of one word is found wherever that word is. In scripts
+written without spaces between words every character is a word.
+
+Defined results: null or empty texts, and items without a word, match nothing;
+equal items are all reported; equal texts get equal
 rows; rows with a null id are reported under null; an empty table on either side
 gives an empty result; extra columns are ignored.
 """
@@ -42,11 +47,19 @@ from gridwright.llm.common import free_names, table
 from gridwright.llm.shingles import by_words
 
 _WORD = re.compile(r"[^\W_]+")
+# Han, kana, bopomofo and Yi; Thai, Lao, Burmese, Khmer, the Tai scripts, Balinese and Javanese.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3038-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\ua4cf\ua980-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001aff0-\U0001b16f\U00020000-\U000323af"
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WORD_OR_CHARACTER = re.compile(f"[^\\W_{_UNSPACED}]+|(?=[^\\W_])[{_UNSPACED}]")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    word = _WORD if text.isascii() or not _ANY_UNSPACED.search(text) else _WORD_OR_CHARACTER
+    return word.findall(text)
 
 
 def pairs_of(words: list[str]) -> list[tuple[str, str]]:
@@ -69,6 +82,7 @@ class Index:
         self.ids: list[int] = []
         self.parts: list[tuple[frozenset, frozenset]] = []
         grams: list[Counter] = []
+        short: list[tuple[int, tuple[str, ...]]] = []
         for ident, question, answer in sorted(items, key=lambda x: (x[0] is None, x[0], x[1:])):
             q, a = words_of(question), words_of(answer)
             count = Counter(pairs_of(q + a))
@@ -76,6 +90,17 @@ class Index:
                 self.ids.append(ident)
                 self.parts.append((frozenset(pairs_of(q)), frozenset(pairs_of(a))))
                 grams.append(count)
+            elif q + a:
+                short.append((ident, tuple(q + a)))
+        # Short items by their words, and the lengths of those that begin with a word.
+        self.exact: dict[tuple[str, ...], list[int]] = {}
+        self.lengths: dict[str, list[int]] = {}
+        for ident, w in short:
+            self.exact.setdefault(w, []).append(len(self.ids))
+            self.ids.append(ident)
+        for w in self.exact:
+            self.lengths.setdefault(w[0], []).append(len(w))
+        self.lengths = {w: sorted(set(x)) for w, x in self.lengths.items()}
         n = len(grams)
         sizes = [sum(g.values()) for g in grams]
         self.longest = max(sizes, default=0)
@@ -116,6 +141,17 @@ class Index:
         out[can] = np.where(self.codes[at] == code, self.term_of[at], -1)
         return out
 
+    def sequences(self, words: list[str]) -> dict[int, int]:
+        """Each short item in the words, and its first place."""
+        found: dict[int, int] = {}
+        if not self.exact or self.lengths.keys().isdisjoint(words):
+            return found
+        for i, w in enumerate(words):
+            for n in self.lengths.get(w, ()):
+                for item in self.exact.get(tuple(words[i : i + n]), ()):
+                    found.setdefault(item, i)
+        return found
+
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Every item whose impacts over these distinct terms reach threshold."""
         found = []
@@ -174,13 +210,13 @@ def passages(n: int, longest: int) -> Iterator[tuple[int, int]]:
 
 
 def overlaps(text: str, index: Index, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float, int]]:
-    """item, best score, question and answer overlap, first word of that passage."""
+    """item, best score, question and answer overlap, first word of that passage (or sequence)."""
     words = words_of(text)
+    best: dict[int, tuple[int, float, float, float, int]] = {i: (i, 1.0, 1.0, 1.0, a) for i, a in index.sequences(words).items()}
     terms = index.look_up(words)
     if not (terms >= 0).any():
-        return []
+        return [best[i] for i in sorted(best)]
     bound = np.r_[0.0, np.cumsum(np.where(terms >= 0, index.bounds[terms], 0.0))]
-    best: dict[int, tuple[int, float, float, float, int]] = {}
     for a, b in passages(len(terms), index.longest):
         if bound[b] - bound[a] < threshold - 1e-9:
             continue

@@ -93,3 +93,33 @@ def test_odd_rows(spark, odd, none):
 def test_question_answer():
     assert question_answer("One? Two. Three four.") == ("One? Two.", "Three four.")
     assert question_answer("no end") == ("no end", "")
+
+
+def test_short_items_are_found_as_exact_sequences(spark):
+    items = [(1, "2 + 2 = ? 4"), (2, "Who wrote Hamlet? Shakespeare."), (3, "ho ho ho ho ho ho ho"), (4, "Zyzzyva"), (5, "..."), (6, "Who wrote Hamlet? Shakespeare."), (7, "2 + 2 = ? 5")]
+    texts = {
+        1: "The test asks: 2+2 =?\n4, and others.",
+        2: "who wrote hamlet -- shakespeare",
+        3: "who wrote the hamlet of shakespeare, who wrote hamlet",
+        4: "ho " * 6,
+        5: "ho " * 9,
+        6: "a zyzzyva is a weevil",
+        7: "2 4 2 and 2 2 3 4",
+        8: "",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for options in ({}, {"block_bytes": 30}):
+        got = find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), **options)
+        assert collected(got, "doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word") == [
+            (1, 1, 1.0, 1.0, 1.0, 3), (2, 2, 1.0, 1.0, 1.0, 0), (2, 6, 1.0, 1.0, 1.0, 0), (5, 3, 1.0, 1.0, 1.0, 0), (6, 4, 1.0, 1.0, 1.0, 1)
+        ]
+
+
+def test_scripts_without_spaces():
+    assert words_of("\u6c34\u306fH2O\u3067\u3059\u3002 caf\u00e9") == ["\u6c34", "\u306f", "h2o", "\u3067", "\u3059", "caf\u00e9"]
+    items = [(1, *question_answer("\u4e2d\u56fd\u6700\u957f\u7684\u6cb3\u6d41\u662f\u54ea\u4e00\u6761\uff1f\u957f\u6c5f\u3002")), (2, *question_answer("\u0e40\u0e21\u0e37\u0e2d\u0e07\u0e2b\u0e25\u0e27\u0e07\u0e02\u0e2d\u0e07\u0e44\u0e17\u0e22\u0e04\u0e37\u0e2d\u0e2d\u0e30\u0e44\u0e23"))]
+    index = Index(items)
+    for number, (_, q, a) in enumerate(items):
+        hits = overlaps(f"\u5929\u6c14\u5f88\u597d {q}{a} \u6211\u4eec\u53bb\u516c\u56ed", index, 0.5, 0.6, 0.6)
+        assert [h[0] for h in hits] == [number]
+    assert overlaps("\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed", index, 0.5, 0.6, 0.6) == []
