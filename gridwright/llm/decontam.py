@@ -6,17 +6,20 @@ be dismissed by the bound below. A posting's impact is its BM25 weight divided b
 the item's score for itself, so 1 means the whole item and one threshold fits
 items of any length. Postings stand in blocks that know their largest impact.
 
-Every document is cut into overlapping passages twice as long as the longest
-item; an item in a text lies whole in at least one. A passage's terms are looked
-up at once for the whole document; where the sum of the terms' largest impacts
-stays under the threshold nothing can be retrieved. All others query the index
-with block-max WAND, which retrieves every item at or above the threshold: no
-top-k, no cap. A retrieved item counts only if its question and its answer (the
-last sentence, where items have no fields of their own) overlap the passage.
+For each item, every document is cut into overlapping passages twice as long as
+the item; an item in a text lies whole in at least one. Retrieval goes over ranges
+that hold the passages of the longest item, and so of every item, whole: a range's
+terms are looked up at once for the whole document; where the sum of the terms'
+largest impacts stays under the threshold nothing can be retrieved. All others
+query the index with block-max WAND, which retrieves every item at or above the
+threshold: no top-k, no cap. A retrieved item counts only if one of its own
+passages reaches the threshold and overlaps its question and its answer (the last
+sentence, where items have no fields of their own).
 
 One narrow pass over whole texts with a broadcast index. Items are indexed in
 blocks of at most ``block_bytes`` of text, one pass for each block, so the
-broadcast is bounded whatever the size of the benchmark.
+broadcast is bounded whatever the size of the benchmark. The weights come from the
+number, mean length and term counts of all items, not of a block.
 
 Items with fewer than ``least_terms`` distinct word pairs can't be told by overlap:
 they are found as exact sequences of words, with a score and overlaps of 1, first
@@ -39,11 +42,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm.common import free_names, table
+from gridwright.llm.common import discard, free_names, table, written
 from gridwright.llm.shingles import by_words
 
 _WORD = re.compile(r"[^\W_]+")
@@ -76,9 +79,11 @@ def question_answer(text: str) -> tuple[str, str]:
 
 
 class Index:
-    """Block-max inverted index. Items are (id, question, answer)."""
+    """Block-max inverted index. Items are (id, question, answer). of_all: number
+    and mean size of all items, and in how many of them each term is, if these
+    items are only a part."""
 
-    def __init__(self, items: list[tuple[int, str, str]], least_terms: int = 5, k1: float = 1.2, b: float = 0.75, block: int = 64) -> None:
+    def __init__(self, items: list[tuple[int, str, str]], least_terms: int = 5, k1: float = 1.2, b: float = 0.75, block: int = 64, of_all: tuple[int, float, dict] | None = None) -> None:
         self.ids: list[int] = []
         self.parts: list[tuple[frozenset, frozenset]] = []
         grams: list[Counter] = []
@@ -101,17 +106,17 @@ class Index:
         for w in self.exact:
             self.lengths.setdefault(w[0], []).append(len(w))
         self.lengths = {w: sorted(set(x)) for w, x in self.lengths.items()}
-        n = len(grams)
-        sizes = [sum(g.values()) for g in grams]
+        sizes = self.sizes = [sum(g.values()) for g in grams]
         self.longest = max(sizes, default=0)
-        mean = sum(sizes) / n if n else 1.0
-        df = Counter(t for g in grams for t in g)
+        if of_all is None:
+            of_all = len(grams), sum(sizes) / len(grams) if grams else 1.0, Counter(t for g in grams for t in g)
+        n, mean, df = of_all
         weights: list[dict] = []
         for g, size in zip(grams, sizes):
             w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * size / mean)) for t, f in sorted(g.items())}
             whole = sum(w.values())
             weights.append({t: x / whole for t, x in w.items()})
-        self.terms = sorted(df)
+        self.terms = sorted({t for g in grams for t in g})
         number = {t: i for i, t in enumerate(self.terms)}
         self.words: dict[str, int] = {}
         for t in self.terms:
@@ -122,6 +127,7 @@ class Index:
         order = np.argsort(codes)
         self.codes, self.term_of = codes[order], order
         self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.terms]
+        self.impacts = [{number[t]: x for t, x in w.items()} for w in weights]
         for item, w in enumerate(weights):
             for t, x in w.items():
                 self.postings[number[t]][0].append(item)
@@ -209,6 +215,15 @@ def passages(n: int, longest: int) -> Iterator[tuple[int, int]]:
             break
 
 
+def ranges(n: int, longest: int) -> Iterator[tuple[int, int]]:
+    """Ranges of n terms that hold each passage of an item up to the longest whole."""
+    step = max(longest, 16)
+    for a, b in passages(n, longest):
+        yield a, min(n, a + 3 * step)
+        if b == n:
+            break
+
+
 def overlaps(text: str, index: Index, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float, int]]:
     """item, best score, question and answer overlap, first word of that passage (or sequence)."""
     words = words_of(text)
@@ -217,24 +232,65 @@ def overlaps(text: str, index: Index, threshold: float, question: float, answer:
     if not (terms >= 0).any():
         return [best[i] for i in sorted(best)]
     bound = np.r_[0.0, np.cumsum(np.where(terms >= 0, index.bounds[terms], 0.0))]
-    for a, b in passages(len(terms), index.longest):
+    near: set[int] = set()
+    for a, b in ranges(len(terms), index.longest):
         if bound[b] - bound[a] < threshold - 1e-9:
             continue
         here = np.unique(terms[a:b])
-        here = here[here >= 0].tolist()
-        got = index.retrieve(here, threshold)
-        if not got:
-            continue
-        grams = {index.terms[t] for t in here}
-        for item, score in got:
-            q, r = index.parts[item]
+        near.update(item for item, _ in index.retrieve(here[here >= 0].tolist(), threshold))
+    places: dict[int, list[int]] = {}
+    if near:
+        for i in np.flatnonzero(terms >= 0).tolist():
+            places.setdefault(int(terms[i]), []).append(i)
+    for item in near:
+        step = max(index.sizes[item], 16)
+        cells: dict[int, set[int]] = {}  # the item's terms in each passage
+        for t in index.impacts[item]:
+            for i in places.get(t, ()):
+                cells.setdefault(i // step, set()).add(t)
+                if i >= step:
+                    cells.setdefault(i // step - 1, set()).add(t)
+        q, r = index.parts[item]
+        for cell in sorted(cells):
+            score = sum(index.impacts[item][t] for t in sorted(cells[cell]))
+            if score < threshold - 1e-12 or (item in best and score <= best[item][1]):
+                continue
+            grams = {index.terms[t] for t in cells[cell]}
             in_q = len(q & grams) / len(q) if q else 1.0
             in_a = len(r & grams) / len(r) if r else 1.0
-            if in_q >= question and in_a >= answer and (item not in best or score > best[item][1]):
-                best[item] = (item, score, in_q, in_a, a)
+            if in_q >= question and in_a >= answer:
+                best[item] = (item, score, in_q, in_a, cell * step)
     return [best[i] for i in sorted(best)]
 
 
+def terms_of_items(items: DataFrame, split: bool, n_blocks: int, least_terms: int) -> tuple[int, float, DataFrame]:
+    """Number and mean size of the items that are indexed by terms; and a row for
+    each of their terms: in how many items it is, and the blocks of these."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term: list[str | None] = []
+            block: list[int] = []
+            size: list[int | None] = []
+            for row in batch.to_pylist():
+                q, a = (row["question"] or "", row["answer"] or "") if split else question_answer(row["text"] or "")
+                count = Counter(pairs_of(words_of(q) + words_of(a)))
+                if len(count) >= least_terms:
+                    term += [None, *(" ".join(t) for t in count)]
+                    block += [row["block"]] * (len(count) + 1)
+                    size += [sum(count.values()), *[None] * len(count)]
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(block, pa.int64()), pa.array(size, pa.int64())], ["term", "block", "size"])
+
+    rows = items.withColumn("block", block_of(n_blocks).cast("long")).mapInArrow(counted, "term string, block long, size long")
+    n, size = rows.filter("term IS NULL").agg(F.count("size"), F.sum("size")).first()
+    terms = rows.filter("term IS NOT NULL").groupBy("term").agg(F.count("block").alias("n"), F.collect_set("block").alias("blocks"))
+    return n, size / n if n else 1.0, terms
+
+
+def block_of(n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))
+
+
 def overlap_column(docs: DataFrame, items: DataFrame, text_col: str = "text", name: str = "hits", threshold: float = 0.5, question: float = 0.6, answer: float = 0.6, least_terms: int = 5, block_bytes: int = 16_000_000) -> DataFrame:
     """docs with an array of (item_id, score, question_overlap, answer_overlap,
     first_word): what each document contains of the items. A column of that name
@@ -264,12 +320,20 @@ def overlap_column(docs: DataFrame, items: DataFrame, text_col: str = "text", na
 
         return df.mapInArrow(searched, T.StructType([*df.schema.fields, T.StructField(column, found)]))
 
+    paths, of_all = [], None
+    if n_blocks > 1:
+        n, mean, terms = terms_of_items(items, split, n_blocks, least_terms)
+        terms, path = written(terms, "decontamination-terms")
+        paths.append(path)
     columns = free_names(docs, *(f"{name}_{i}" for i in range(n_blocks)))
     out = docs
     for block, column in enumerate(columns):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).collect()  # block_bytes of text, about
+        rows = items.filter(block_of(n_blocks) == block).collect()  # block_bytes of text, about
         listed = [(r["item_id"], r["question"] or "", r["answer"] or "") if split else (r["item_id"], *question_answer(r["text"] or "")) for r in rows]
-        out = against(out, spark.sparkContext.broadcast(Index(listed, least_terms)), column)
+        if n_blocks > 1:
+            of_all = n, mean, {tuple(r["term"].split(" ")): r["n"] for r in terms.filter(F.array_contains("blocks", F.lit(block).cast("long"))).select("term", "n").collect()}
+        out = against(out, spark.sparkContext.broadcast(Index(listed, least_terms, of_all=of_all)), column)
+    discard(spark, *paths)
     return out.select(*[c for c in docs.columns if c.lower() != name.lower()], F.concat(*columns).alias(name))
 
 

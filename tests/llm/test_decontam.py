@@ -123,3 +123,38 @@ def test_scripts_without_spaces():
         hits = overlaps(f"\u5929\u6c14\u5f88\u597d {q}{a} \u6211\u4eec\u53bb\u516c\u56ed", index, 0.5, 0.6, 0.6)
         assert [h[0] for h in hits] == [number]
     assert overlaps("\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed", index, 0.5, 0.6, 0.6) == []
+
+
+def item_of(i, n):
+    return " ".join(f"i{i}w{j}" for j in range(n))
+
+
+def test_a_long_item_does_not_widen_the_passages_of_others():
+    """Halves of an item, far apart, aren't a copy of it."""
+    words = item_of(1, 20).split()
+    items = [(1, " ".join(words), ""), *((i, item_of(i, 20), "") for i in range(2, 9))]
+    far = " ".join(words[:10] + [f"x{i}" for i in range(200)] + words[10:])
+    copy = " ".join([f"x{i}" for i in range(33)] + words)
+    for more in ([], [(9, item_of(9, 3000), "")]):
+        index = Index(items + more)
+        assert overlaps(far, index, 0.5, 0.6, 0.6) == []
+        assert [(h[0], h[1]) for h in overlaps(copy, index, 0.5, 0.6, 0.6)] == [(0, pytest.approx(1.0))]
+
+
+def test_every_item_is_found_at_every_place():
+    items = [(i, item_of(i, n), "") for i, n in enumerate((7, 18, 33, 50, 61))]
+    index = Index(items)
+    for number, (_, text, _) in enumerate(items):
+        for before in range(0, 260, 3):
+            hits = overlaps(" ".join(["x"] * before + [text] + ["x"] * 150), index, 0.99, 1.0, 1.0)
+            assert [h[0] for h in hits] == [number], before
+
+
+def test_scores_do_not_depend_on_blocks(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(8, 40)))) for i in range(60)]
+    docs = spark.createDataFrame([(i, t[: len(t) * 3 // 4]) for i, t in items], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **k: {(r[0], r[1]): r.score for r in find_contamination(docs, table, **k).collect()}
+    whole, blocks = found(), found(block_bytes=500)
+    assert whole == pytest.approx(blocks) and len(whole) > 50
