@@ -30,10 +30,11 @@ class Case:
     post: str | None = None
     mode: str = LITERAL
     more: list[tuple[str, dict[str, Any]]] = field(default_factory=list)
+    unique: bool = True
 
     def grid(self, spark: SparkSession, sf_dir: str) -> Grid:
         df = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
-        return Grid.of(df.selectExpr(*split_list(self.columns)), self.order)
+        return Grid.of(df.selectExpr(*split_list(self.columns)), self.order, unique=self.unique)
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         out = run(self.grid(spark, sf_dir), self.tool, self.params, self.mode).grid
@@ -166,6 +167,8 @@ CASES: dict[str, Case] = {
     "unit_speed": Case("lineitem", "l_orderkey, l_quantity AS x", "unit-convert", {"column": "x", "category": "speed", "from_unit": "kmh", "to_unit": "ms"}, "SELECT *, round(x * 0.27778, 6) AS x_ms FROM t"),
     "unit_pressure": Case("lineitem", "l_orderkey, l_quantity AS x", "unit-convert", {"column": "x", "category": "pressure", "from_unit": "psi", "to_unit": "kpa"}, "SELECT *, round(x * 6894.76 / 1000, 6) AS x_kpa FROM t"),
     "dup_flag": Case("orders", "o_orderkey, o_custkey", "detect-dup-key", {"key_columns": "o_custkey", "action": "flag"}, "SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 AS INT) AS is_duplicate_key FROM t", "o_orderkey"),
+    "dup_flag_lineitem": Case("lineitem", "l_orderkey", "detect-dup-key", {"key_columns": "l_orderkey", "action": "flag"}, "SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey) > 1 AS INT) AS is_duplicate_key FROM t", "l_orderkey", unique=False),
+    "dup_remove_all_lineitem": Case("lineitem", "l_orderkey, l_quantity", "detect-dup-key", {"key_columns": "l_orderkey", "action": "remove_all"}, "SELECT l_orderkey, l_quantity FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM t) WHERE n = 1", "l_orderkey", unique=False),
     "dup_remove_all": Case("documents", "doc_id, text", "detect-dup-key", {"key_columns": "text", "action": "remove_all"}, "SELECT doc_id, text FROM (SELECT *, count(*) OVER (PARTITION BY text) AS n FROM t) WHERE n = 1", "doc_id"),
     "dup_keep_first": Case("orders", "o_orderkey, o_custkey", "detect-dup-key", {"key_columns": "o_custkey", "action": "keep_first"}, _first("o_custkey", "o_orderkey"), "o_orderkey"),
     "dup_keep_last": Case("orders", "o_orderkey, o_custkey", "detect-dup-key", {"key_columns": "o_custkey", "action": "keep_last"}, _first("o_custkey", "o_orderkey", "DESC"), "o_orderkey", mode=INTENDED),
@@ -210,11 +213,11 @@ REPORTS: dict[str, tuple[Case, dict[str, str]]] = {
 
 
 def _grid_of(spark: SparkSession, sf_dir: str, table: str, columns: list[str], order: str) -> Grid:
-    return Grid.of(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns), order)
+    return Grid.of(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns), order, unique=True)
 
 
 def _sheet_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = Grid.of(spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "CASE WHEN c_custkey = 5 THEN 'key' ELSE CAST(c_custkey AS STRING) END AS a", "CASE WHEN c_custkey = 5 THEN 'name' ELSE c_name END AS b"), "c_custkey")
+    grid = Grid.of(spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "CASE WHEN c_custkey = 5 THEN 'key' ELSE CAST(c_custkey AS STRING) END AS a", "CASE WHEN c_custkey = 5 THEN 'name' ELSE c_name END AS b"), "c_custkey", unique=True)
     return g.read_range(grid, [1, 2], 5, 25).frame()
 
 

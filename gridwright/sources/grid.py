@@ -44,17 +44,18 @@ class Grid:
     ordered: bool = False
 
     @staticmethod
-    def of(df: DataFrame, order_by: str | Sequence[str] | None = None, headers: Sequence[str] | None = None) -> Grid:
+    def of(df: DataFrame, order_by: str | Sequence[str] | None = None, headers: Sequence[str] | None = None, unique: bool = False) -> Grid:
         """A grid of all columns of df. order_by: the column (or columns) whose
-        order is the row order; one numeric, date or timestamp column serves as
-        the position as it is, others are numbered first."""
+        order is the row order, nulls first; rows are numbered by it, ties in the
+        order in which they are read. unique: the caller vouches that one column of
+        whole numbers has no null and no value twice, so it is the position."""
         columns = tuple(c for c in df.columns if c != POS)
         names = tuple(headers) if headers else columns
         if order_by is None:
             return Grid(df, names, columns, POS in df.columns)
         by = [order_by] if isinstance(order_by, str) else list(order_by)
         kind = df.schema[by[0]].dataType
-        if len(by) == 1 and isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        if unique and len(by) == 1 and isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             placed = df.withColumn(POS, F.col(quoted(by[0])).cast("long"))
         else:
             placed = numbered(df, [F.col(quoted(b)).asc_nulls_first() for b in by], POS)

@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="gridwright-")
-        atexit.register(shutil.rmtree, path, True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+from gridwright.sources.shared import shared_dir
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -27,10 +13,12 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
     Rows are range-partitioned and sorted once and checkpointed; the partitions'
     row counts (one number each) give their offsets, and rows are counted within
-    their partition.
+    their partition. Rows of one order are told apart by where they were read, so
+    that a repeated or missing key can fill several partitions.
     """
-    checkpoint_dir(df.sparkSession)
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    shared_dir(df.sparkSession)
+    keyed, keys = df.withColumn("__tie", F.monotonically_increasing_id()), [*order, F.col("__tie")]
+    placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie").checkpoint()
     placed = placed.withColumns({"__pid": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
     offsets, total = [], 0
     for pid, n in sorted(tuple(r) for r in placed.groupBy("__pid").count().collect()):

@@ -117,3 +117,40 @@ def test_wire(spark, text_grid, cells):
     assert wire.response(spark, json.dumps({"x": 1}))[0] is None
     with pytest.raises(RuntimeError):
         wire.response(spark, json.dumps({"error": "no"}))
+
+
+def test_repeated_and_missing_order_keys(spark, cells):
+    """Rows are numbered unless the caller vouches for the key."""
+    from gridwright.plans.registry import run
+
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "b"), (None, None), (2, "c")], "k int, v string")
+    grid = g.Grid.of(df, "k")
+    assert sorted(r[0] for r in grid.df.select(g.POS).collect()) == list(range(6))
+    flags = run(grid, "detect-dup-key", {"key_columns": "v", "action": "flag"}).df.collect()
+    assert len(flags) == 6 and sorted((r.v or "", r.is_duplicate_key) for r in flags) == [("", 0), ("a", 0), ("a", 1), ("b", 0), ("b", 1), ("c", 0)]
+    assert sorted(r.v or "" for r in run(grid, "detect-dup-key", {"key_columns": "v", "action": "remove_all"}).df.collect()) == ["", "c"]
+    assert run(grid, "fill-missing", {"column": "v", "method": "ffill"}).df.filter("v is null").count() <= 1
+    filled = run(grid, "fill-missing", {"column": "v", "method": "bfill"})
+    assert filled.df.count() == 6 and filled.df.filter("v is null").count() == 0
+    vouched = g.Grid.of(df.filter("v = 'c'"), "k", unique=True)
+    assert vouched.df.first()[g.POS] == 2
+
+
+def test_a_hot_order_key_fills_several_partitions(spark):
+    df = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") % 3 > 0, F.col("id") * 0).otherwise(F.col("id")).cast("string").alias("k"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = g.Grid.of(df, "k").df
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
+def test_shared_folder(spark):
+    from gridwright.sources.shared import discard, shared_dir, written
+
+    back, path = written(spark.range(3), "some")
+    assert path.startswith(shared_dir(spark)) and back.count() == 3
+    discard(spark, path)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(path).count()
