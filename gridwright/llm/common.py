@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterator, Sequence
+from typing import Any
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwright.sources.shared import discard, shared_dir, written  # noqa: F401
+
 #: Words are runs of anything but these code points.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,36 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; one of our own
-    only where that is unset (single-machine tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="gridwright-")
-        atexit.register(shutil.rmtree, path, True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it back: lineage ends
-    there, so a lost executor costs one reread, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete tables made by written() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -65,3 +36,12 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
         have.add(name)
         out.append(name)
     return out
+
+
+def in_turn(parts: Sequence[Broadcast]) -> Iterator[Any]:
+    """The values of broadcast variables one after another. Of several only one is
+    in a worker's memory at a time: it is read again from Spark's local copy."""
+    for part in parts:
+        yield part.value
+        if len(parts) > 1:
+            part.__dict__.pop("_value", None)

@@ -3,24 +3,29 @@ weighs the votes, and a classifier trained on the outcome decides about spans.
 
 Every text is read once. Patterns propose spans: the strict base patterns of
 four kinds, and looser ones (phone numbers without a plus, spelled-out e-mail
-addresses, identity numbers). Five labelers vote yes, no or not at all on each:
-two look at the format (valid, well delimited), a gazetteer knows prefixes and
-endings, and two look at the words before and at what stands around. The votes
-of all spans are counted by pattern of votes; EM on those counts (at most 3^5
-per kind, whatever the corpus) estimates how far to trust each labeler, and
-gives each pattern a probability. A naive Bayes classifier over bucketed span
-features is then trained with these probabilities as soft labels, from counts
+addresses, identity numbers, opaque runs that may be keys). Five labelers vote
+yes or no, or abstain: the form of the value, a gazetteer of prefixes and endings,
+the words before, the marks on either side, and the length. The votes of all spans
+are counted by pattern of votes; EM on those counts (at most 3^5 per kind, whatever
+the corpus) estimates how far to trust each labeler, and gives each pattern a
+probability. A naive Bayes classifier over bucketed features of the span and its
+surroundings is then trained with these probabilities as soft labels, from counts
 that are again bounded, and combined with them it decides. Valid base matches
 are always reported; matches of base patterns that fail their check never are, and
-only teach.
+only teach. A loose proposal that touches a valid base match is none.
 
 DataFrame functions only; nothing but bounded counts is shuffled. Patterns have
-no repeated groups and start only where a match can start, so that a text of
-one very long run costs linear time and constant stack.
-
-Defined results: null texts count as empty, with no spans; overlapping proposals
-of other kinds than a base match give way to it; equal texts get equal spans; an
-empty table gives an empty result and learns nothing; extra columns are ignored.
+no repeated groups and start only where a match can start. Offsets are prefix sums
+over groups of 64 lengths, and a span's value and surroundings come from the pieces
+that its pattern cuts the text into, never from the text itself: the work grows
+with the text's length and with the number of spans, not with their product.
+
+Defined results: null texts count as empty, with no spans; very long texts are read
+whole; the context of a span reaches back 32 characters, at most to the match before
+it; loose proposals of several kinds may overlap; equal texts and repeated rows get
+equal spans; an empty table gives an empty result and learns nothing; extra columns
+are carried along, but for those named like results (proposed, base, spans), which
+are replaced.
 """
 
 from __future__ import annotations
@@ -30,13 +35,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import table, written
+from gridwright.llm.common import free_names, table, written
 
-KINDS = ["email", "ip", "card", "phone", "id"]
+KINDS = ["email", "ip", "card", "phone", "id", "secret"]
 
 # Private-use characters stand for a dot or blank that joins two parts, so that
 # one character class can take a whole address or number.
-_JOIN, _OTHER = "\ue000", "\ue001"
+_JOIN, _OTHER = "", ""
 
 _LOCAL = rf"A-Za-z0-9._%+\-{_JOIN}"
 _EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]+@[A-Za-z0-9-]+{_JOIN}[A-Za-z0-9\-{_JOIN}]+"
@@ -46,6 +51,7 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BARE_PHONE = r"(?<![A-Za-z0-9+.(-])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![A-Za-z0-9]|[.-][0-9])"
 _SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[]\x20?[aA][tT]\x20?[)\]]\x20?[A-Za-z0-9-]{1,63}\x20?(?:[(\[]\x20?[dD][oO][tT]\x20?[)\]]|\.)\x20?[A-Za-z]{2,24}(?![A-Za-z0-9])"
 _IDENTITY = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
+_OPAQUE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}"
 
 #: Words that announce personal data, and words that announce other numbers.
 CUES = {
@@ -54,8 +60,12 @@ CUES = {
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|payment)\b",
     "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|contact)\b",
     "id": r"(?i)\b(?:ssn|social|security|identity|taxpayer)\b",
+    "secret": r"(?i)(?:\b|_)(?:token|secret|password|passwd|pwd|credentials?|api_?key|access_?key|private_?key|auth|bearer)(?:\b|_)",
+}
+AGAINST = {
+    **dict.fromkeys(KINDS, r"(?i)\b(?:version|ver|isbn|issn|doi|page|pages|section|chapter|figure|order|invoice|part|model|serial|build|rfc)\b"),
+    "secret": r"(?i)\b(?:commit|revision|sha-?[0-9]*|md5|hash|checksum|digest|etag|uuid|guid|version|isbn|doi|https?)\b",
 }
-AGAINST = r"(?i)\b(?:version|ver|isbn|issn|doi|page|pages|section|chapter|figure|order|invoice|part|model|serial|build|rfc)\b"
 
 #: Endings, prefixes and ranges that speak for a kind.
 KNOWN = {
@@ -64,28 +74,80 @@ KNOWN = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|3[0689]|35|6011|65)",
     "phone": r"^(?:\+(?:1|7|2[07]|3[0-4]|36|39|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9])",
     "id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
+    "secret": r"^(?:AKIA|ASIA|AIza|gh[opsu]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|eyJ|SG\.|npm_|pypi-)",
 }
 
+#: What speaks against a kind: reserved, private, made up or other things.
+UNLIKELY = {
+    "email": r"(?i)(?:^|[.@])(?:noreply|no-reply|invalid|localhost)(?:[.@]|$)|[.)\]\x20][0-9][^.@]*$",
+    "ip": r"^(?:0+|127|255|22[4-9]|23[0-9])\.|^[0-9]\.[0-9]\.[0-9]\.[0-9]$",
+    "card": r"^(?:0|1|7|9)",
+    "phone": r"^\(?[01]|^\+0",
+    "id": r"^(?:000|666|9)|-00-|-0000$",
+    "secret": r"^[A-Za-z/+-]+$|^[0-9/_+-]+$|//|-{3}|_{3}",
+}
 
-def _found(original: Column, read: Column, pattern: str, only: Column) -> Column:
-    """start, end (code points, end exclusive) and text of pattern's matches in
-    ``read``, which has original's length; empty where ``only`` is false.
+#: Lengths of which a kind mostly is, and lengths it hardly has.
+LENGTHS = {"email": (6, 40, 64), "ip": (7, 15, 15), "card": (16, 23, 37), "phone": (10, 18, 24), "id": (11, 11, 11), "secret": (24, 96, 256)}
 
-    The pieces between matches and the matches themselves alternate, so the sums
-    of their lengths are the offsets."""
-    empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    pieces, matches = F.split(read, pattern, -1), F.regexp_extract_all(read, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.transform(matches, lambda m: F.length(m)).alias("m"), F.slice(F.transform(pieces, lambda p: F.length(p)), 1, F.size(matches)).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+_SPAN = "struct<start:int,end:int,text:string,left:string,right:string>"
+
+
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
+
+
+def _up_to(n: Column) -> Column:
+    """0 to n - 1; nothing if n is 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(_none("int"))
 
-    def more(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + pair["p"]
-        end = begin + pair["m"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("out"))
 
-    spans = F.aggregate(pairs, start, more, lambda acc: acc["out"])
-    with_text = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(original, s["start"] + 1, s["end"] - s["start"]).alias("text")))
-    return F.when(only, with_text).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)"))
+_GROUP = 64
+
+
+def _grouped(values: Column) -> Column:
+    """Sums of groups of 64 values."""
+    groups = _up_to(F.ceil(F.size(values) / F.lit(_GROUP)).cast("int"))
+    return F.transform(groups, lambda g: F.aggregate(F.slice(values, g * _GROUP + 1, F.lit(_GROUP)), F.lit(0), lambda a, v: a + v))
+
+
+def _sum_before(levels: list[Column], i: Column) -> Column:
+    """The sum of the first i values: a part of a group on each level."""
+    out, rest = F.lit(0), i
+    for k, level in enumerate(levels):
+        whole = F.floor(rest / F.lit(_GROUP)).cast("int") if k + 1 < len(levels) else F.lit(0)
+        out = out + F.aggregate(F.slice(level, whole * _GROUP + 1, rest - whole * _GROUP), F.lit(0), lambda a, v: a + v)
+        rest = whole
+    return out
+
+
+def _matches(df: DataFrame, read: Column, pattern: str, only: Column, name: str, back: str | None = None) -> DataFrame:
+    """df with a column of pattern's matches in ``read``: start and end (code
+    points, end exclusive), the text, up to 32 characters before it and one behind
+    it; empty where ``only`` is false. back: what joined characters stand for.
+
+    The pieces between matches and the matches themselves alternate, so the sums
+    of their lengths are the offsets. Steps are columns of their own: each is used
+    several times."""
+    t, m, p, gaps, one, two, three = (f"{name}_{x}" for x in ("text", "m", "p", "gaps", "one", "two", "three"))
+    df = df.withColumn(t, F.when(only, read))
+    df = df.withColumn(m, F.when(F.col(t).isNotNull(), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(_none("string")))
+    df = df.withColumn(p, F.when(F.size(m) > 0, F.split(t, pattern, -1)).otherwise(_none("string")))
+    plain = (lambda c: F.replace(c, F.lit(_JOIN), F.lit(back))) if back else lambda c: c
+    # Of each match the distance between its start and the start of the one before.
+    at = lambda i: F.length(F.get(p, i)) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(0)
+    df = df.withColumn(gaps, F.transform(_up_to(F.size(m)), at))
+    df = df.withColumn(one, _grouped(F.col(gaps))).withColumn(two, _grouped(F.col(one))).withColumn(three, _grouped(F.col(two)))
+    levels = [F.col(c) for c in (gaps, one, two, three)]
+
+    def span(i: Column) -> Column:
+        start, text = _sum_before(levels, i + 1), F.get(m, i)
+        before, behind = F.get(p, i), F.get(p, i + 1)
+        left = F.when(before != "", F.right(before, F.lit(32))).when(i > 0, F.right(F.get(m, i - 1), F.lit(1))).otherwise("")
+        right = F.when(behind != "", F.left(behind, F.lit(1))).otherwise(F.left(F.coalesce(F.get(m, i + 1), F.lit("")), F.lit(1)))
+        return F.struct(start.alias("start"), (start + F.length(text)).alias("end"), plain(text).alias("text"), plain(left).alias("left"), plain(right).alias("right"))
+
+    return df.withColumn(name, F.transform(_up_to(F.size(m)), span)).drop(t, m, p, gaps, one, two, three)
 
 
 def _digits(c: Column) -> Column:
@@ -103,6 +165,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _valid(kind: str, text: Column) -> Column:
+    """The checks of base matches."""
     if kind == "ip":
         return F.forall(F.split(text, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.right(p, F.lit(3)).try_cast("int"), F.lit(999)) <= 255))
     if kind == "card":
@@ -113,83 +176,148 @@ def _valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+def _form(kind: str, base: bool, text: Column) -> tuple[Column, Column]:
+    """Whether a value has the form of its kind, and whether it can't be one."""
+    if base:
+        valid = _valid(kind, text)
+        return (text.rlike(r"[A-Za-z]{2,24}$") if kind == "email" else valid), ~valid
+    if kind == "phone":
+        d = F.right(_digits(text), F.lit(10))
+        return d.rlike("^[2-9][0-9]{2}[2-9]"), d.rlike("^[01]|^[0-9]{3}[01]")
+    if kind == "id":
+        return text.rlike(KNOWN["id"]), ~text.rlike(KNOWN["id"])
+    if kind == "secret":
+        # Hexadecimal digits alone may as well be a checksum.
+        d, n = F.length(_digits(text)), F.length(text)
+        return text.rlike("[a-z]") & text.rlike("[A-Z]") & (d * 10 >= n), d * 20 < n
+    return text.rlike(r"[A-Za-z]{2,6}$"), text.rlike(r"[0-9]$")
+
+
 def _vote(yes: Column, no: Column) -> Column:
-    return F.when(yes, "+").when(no, "-").otherwise("0")
+    return F.when(no, "-").when(yes, "+").otherwise("0")
+
 
+def _mark(c: Column) -> Column:
+    return F.when(c == "", "none").when(c.rlike(r"^\s"), "blank").when(c.rlike("^[A-Za-z0-9]"), "word").otherwise("mark")
 
-def _judged(text: Column, spans: Column, kind: str, base: bool) -> Column:
+
+def _judged(spans: str, kind: str, base: bool) -> Column:
     """Each span with its kind, whether it is a valid base match, its votes and features."""
+    low, usual, most = LENGTHS[kind]
+    # A key is quoted or assigned; other values stand between blanks as well.
+    opens, closes = (r"[\"'=:`]", r"^$|[\s\"'`,;)]") if kind == "secret" else (r"^$|[\s\"'(:,;<\[]", r"^$|[\s\"'),.:;!?>\]]")
+    joins = r"[./#@]" if kind == "secret" else r"[A-Za-z0-9$#/_=.-]"
 
     def one(s: Column) -> Column:
-        value, start, end = s["text"], s["start"], s["end"]
-        left = F.substring(text, F.greatest(start - 31, F.lit(1)), F.least(start, F.lit(32)))
-        before, after = F.right(left, F.lit(1)), F.substring(text, end + 1, F.lit(1))
-        valid = _valid(kind, value)
-        digits = F.length(_digits(value))
+        value, left = s["text"], s["left"]
+        before, after, n = F.right(left, F.lit(1)), s["right"], F.length(value)
+        good, bad = _form(kind, base, value)
+        valid = _valid(kind, value) if base else F.lit(False)
         votes = F.concat(
-            _vote(valid & F.lit(base), ~valid),
-            _vote(F.length(value).between(7, 64), F.lit(True)),
-            _vote(value.rlike(KNOWN[kind]), F.lit(True)),
-            _vote(left.rlike(CUES[kind]), left.rlike(AGAINST)),
-            _vote(~before.rlike("[A-Za-z0-9$#/_=.-]") & ~after.rlike("[A-Za-z0-9$#/_=-]"), F.lit(True)),
+            _vote(good, bad),
+            _vote(value.rlike(KNOWN[kind]), value.rlike(UNLIKELY[kind])),
+            _vote(left.rlike(CUES[kind]), left.rlike(AGAINST[kind])),
+            _vote(before.rlike(opens) & after.rlike(closes), before.rlike(joins) | after.rlike("[A-Za-z0-9$#/_=@-]")),
+            _vote(n.between(low, usual), (n < low) | (n > most)),
         )
+        marks = F.length(F.regexp_replace(value, "[A-Za-z0-9]", ""))
         features = F.array(
-            F.concat(F.lit("len:"), F.least(F.floor(F.length(value) / 4), F.lit(20)).cast("string")),
-            F.concat(F.lit("digits:"), F.least(digits, F.lit(20)).cast("string")),
-            F.concat(F.lit("before:"), F.when(before == "", "none").when(before.rlike(r"\s"), "blank").when(before.rlike("[A-Za-z0-9]"), "word").otherwise("mark")),
-            F.concat(F.lit("after:"), F.when(after == "", "none").when(after.rlike(r"\s"), "blank").when(after.rlike("[A-Za-z0-9]"), "word").otherwise("mark")),
-            F.concat(F.lit("base:"), F.lit(base).cast("string")),
+            F.concat(F.lit("len:"), F.least(F.floor(n / 4), F.lit(20)).cast("string")),
+            F.concat(F.lit("digits:"), F.least(F.length(_digits(value)), F.lit(20)).cast("string")),
+            F.concat(F.lit("marks:"), F.least(marks, F.lit(8)).cast("string")),
+            F.concat(F.lit("before:"), _mark(before)),
+            F.concat(F.lit("after:"), _mark(after)),
+            F.concat(F.lit("cue:"), F.when(left.rlike(CUES[kind]), "yes").when(left.rlike(AGAINST[kind]), "no").otherwise("none")),
         )
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), (valid & F.lit(base)).alias("base"), F.lit(not base).alias("loose"), votes.alias("votes"), features.alias("features"))
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), valid.alias("base"), F.lit(not base).alias("loose"), votes.alias("votes"), features.alias("features"))
 
     return F.transform(spans, one)
 
 
+def _apart(spans: Column, base: Column) -> Column:
+    """Spans that touch none of base, whose spans are in order and apart from one
+    another: the last of them that begins before a span's end tells, and halving
+    finds it."""
+
+    def last_before(x: Column) -> Column:
+        whole = F.struct(F.lit(0).alias("a"), F.size(base).alias("b"))
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(base) + F.lit(1))).cast("int"))
+
+        def halve(acc: Column, _: Column) -> Column:
+            middle = F.floor((acc["a"] + acc["b"]) / 2).cast("int")
+            less = (acc["a"] < acc["b"]) & F.coalesce(F.get(base, middle)["start"] < x, F.lit(False))
+            return F.struct(F.when(less, middle + 1).otherwise(acc["a"]).alias("a"), F.when(less | (acc["a"] >= acc["b"]), acc["b"]).otherwise(middle).alias("b"))
+
+        return F.aggregate(steps, whole, halve, lambda acc: acc["a"]) - 1
+
+    free = lambda s: F.coalesce(F.get(base, F.nullif(last_before(s["end"]), F.lit(-1)))["end"] <= s["start"], F.lit(True))
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), F.filter(spans, free)).otherwise(spans)
+
+
 def propose(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the text and with ``proposed``: all spans that any pattern finds.
     Columns named like results (proposed, base, spans) are replaced."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    clean = F.replace(t, F.lit(_JOIN), F.lit(_OTHER))
-    dotted = F.regexp_replace(clean, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _JOIN)
-    joined = F.regexp_replace(clean, r"(?<=[0-9])[\x20-](?=[0-9])", _JOIN)
-    at, plus, digits = F.instr(t, "@") > 0, F.instr(t, "+") > 0, t.rlike(r"[0-9][0-9().\x20-]{7}")
-    found = F.concat(
-        _judged(t, _found(t, dotted, _EMAIL, at), "email", True),
-        _judged(t, _found(t, t, _IP, t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")), "ip", True),
-        # Runs of fewer than 16 digits are ordinary numbers, not proposals.
-        _judged(t, F.filter(_found(t, joined, _CARD, t.rlike(r"[0-9][0-9\x20-]{14}")), lambda s: F.length(_digits(s["text"])) >= 16), "card", True),
-        _judged(t, _found(t, t, _PHONE, plus), "phone", True),
-        _judged(t, _found(t, t, _SPELLED, t.rlike(r"[(\[]\x20?[aA][tT]\x20?[)\]]")), "email", False),
-        _judged(t, _found(t, t, _BARE_PHONE, digits), "phone", False),
-        _judged(t, _found(t, t, _IDENTITY, digits), "id", False),
-    )
     kept = [c for c in docs.columns if c != text_col and c.lower() not in ("proposed", "base", "spans")]
-    return docs.select(*kept, found.alias("proposed"))
-
-
-def estimate(counts: dict[str, float], rounds: int = 50) -> tuple[dict[str, float], float]:
+    names = free_names(docs, "text", "dotted", "joined", "email", "ip", "card", "phone", "spelled", "bare", "identity", "opaque")
+    text, dotted, joined, email, ip, card, phone, *loose = names
+    t = F.col(text)
+    df = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(text))
+    clean = F.replace(t, F.lit(_JOIN), F.lit(_OTHER))
+    digits = t.rlike(r"[0-9][0-9().\x20-]{7}")
+    df = df.withColumn(dotted, F.when(F.instr(t, "@") > 0, F.regexp_replace(clean, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _JOIN)))
+    df = df.withColumn(joined, F.when(t.rlike(r"[0-9][0-9\x20-]{14}"), F.regexp_replace(clean, r"(?<=[0-9])[\x20-](?=[0-9])", _JOIN)))
+    df = _matches(df, F.col(dotted), _EMAIL, F.lit(True), email, ".").drop(dotted)
+    df = _matches(df, F.col(joined), _CARD, F.lit(True), card, " ").drop(joined)
+    # Runs of fewer than 16 digits are ordinary numbers, not proposals.
+    df = df.withColumn(card, F.filter(card, lambda s: F.length(_digits(s["text"])) >= 16))
+    df = _matches(df, t, _IP, t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), ip)
+    df = _matches(df, t, _PHONE, F.instr(t, "+") > 0, phone)
+    strict = list(zip((email, ip, card, phone), KINDS))
+    sure = free_names(df, *(f"sure_{kind}" for _, kind in strict))
+    for (name, kind), valid in zip(strict, sure):
+        # Columns of their own: they are looked into for every loose proposal.
+        df = df.withColumn(name, _judged(name, kind, True)).withColumn(valid, F.filter(name, lambda s: s["base"]))
+    spelled, bare, identity, opaque = loose
+    df = _matches(df, t, _SPELLED, t.rlike(r"[(\[]\x20?[aA][tT]\x20?[)\]]"), spelled)
+    df = _matches(df, t, _BARE_PHONE, digits, bare)
+    df = _matches(df, t, _IDENTITY, digits, identity)
+    df = _matches(df, t, _OPAQUE, t.rlike(r"[A-Za-z0-9_+/-]{20}"), opaque)
+    # Words and numbers alone are no keys: letters and digits have to meet.
+    df = df.withColumn(opaque, F.filter(opaque, lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]")))
+    for name, kind in zip(loose, ("email", "phone", "id", "secret")):
+        for valid in sure:
+            df = df.withColumn(name, _apart(F.col(name), F.col(valid)))
+        df = df.withColumn(name, _judged(name, kind, False))
+    return df.select(*kept, F.concat(*[F.col(n) for n in (email, ip, card, phone, *loose)]).alias("proposed"))
+
+
+def estimate(counts: dict[str, float], rounds: int = 50, mass: float = 250.0, votes: float = 6.0, spans: float = 25.0) -> tuple[dict[str, float], float]:
     """Dawid-Skene EM on counts of vote patterns (strings of + - 0, one character
-    for each labeler): the probability that a span with that pattern is true,
-    and the share of true spans. Starts from the majority of votes."""
+    for each labeler; 0, an abstention, tells nothing): the probability that a span
+    with that pattern is true, and the share of true spans.
+
+    Starts from the majority of votes. Counts are taken as shares of ``mass`` spans,
+    so that what is known beforehand weighs the same in a corpus of any size: that
+    a vote is right four times of five (``votes`` times five of each labeler in
+    either class), and that there are true spans and others (``spans`` of each)."""
+    whole = sum(counts.values())
+    counts = {p: n * mass / whole for p, n in sorted(counts.items())}
     q = {p: (1 + p.count("+")) / (2 + p.count("+") + p.count("-")) for p in counts}
     share = 0.5
     for _ in range(rounds):
-        whole = sum(counts.values())
-        share = (1 + sum(counts[p] * q[p] for p in counts)) / (2 + whole)
-        n_labelers = len(next(iter(counts), ""))
-        table: list[dict[str, tuple[float, float]]] = []
-        for j in range(n_labelers):
-            # A labeler's vote is taken to be right more often than wrong to begin with.
-            yes = {"+": 4.0, "0": 2.0, "-": 1.0}
-            no = {"+": 1.0, "0": 2.0, "-": 4.0}
+        share = (spans + sum(n * q[p] for p, n in counts.items())) / (2 * spans + mass)
+        odds = []  # of each labeler, the log-odds of a vote between the classes
+        for j in range(len(next(iter(counts), ""))):
+            yes, no = {"+": 4 * votes, "-": votes}, {"+": votes, "-": 4 * votes}
             for p, n in counts.items():
-                yes[p[j]] += n * q[p]
-                no[p[j]] += n * (1 - q[p])
+                if p[j] != "0":
+                    yes[p[j]] += n * q[p]
+                    no[p[j]] += n * (1 - q[p])
             a, b = sum(yes.values()), sum(no.values())
-            table.append({v: (yes[v] / a, no[v] / b) for v in "+0-"})
+            odds.append({"0": 0.0, **{v: math.log(yes[v] / a) - math.log(no[v] / b) for v in "+-"}})
         for p in counts:
-            odds = math.log(share / (1 - share)) + sum(math.log(table[j][v][0] / table[j][v][1]) for j, v in enumerate(p))
-            q[p] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
+            x = math.log(share / (1 - share)) + sum(odds[j][v] for j, v in enumerate(p))
+            q[p] = 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
     return q, share
 
 
@@ -226,8 +354,10 @@ def decide(proposed: DataFrame, threshold: float = 0.9) -> DataFrame:
             if k == kind:
                 groups.setdefault(f.split(":")[0], []).append((f, yes, no))
         for rows in groups.values():
-            a, b = sum(r[1] + 1 for r in rows), sum(r[2] + 1 for r in rows)
-            weights.update({f"{kind}|{f}": math.log((yes + 1) / a) - math.log((no + 1) / b) for f, yes, no in rows})
+            # Either class is mixed with a tenth of all spans, so that a rare feature tells nothing without a difference.
+            a, b = sum(r[1] for r in rows), sum(r[2] for r in rows)
+            for f, yes, no in rows:
+                weights[f"{kind}|{f}"] = math.log((yes + (yes + no) / 10) / (a + (a + b) / 10)) - math.log((no + (yes + no) / 10) / (b + (a + b) / 10))
 
     def probable(s: Column) -> Column:
         votes = _lookup(trust, F.concat_ws("|", s["kind"], s["votes"]), 0.0)
@@ -238,15 +368,13 @@ def decide(proposed: DataFrame, threshold: float = 0.9) -> DataFrame:
         order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
         return F.array_sort(F.transform(spans, lambda s: F.struct(order[s["kind"]].alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    base = F.filter("proposed", lambda s: s["base"])
-    added = F.filter("proposed", lambda s: s["loose"] & probable(s) & ~F.exists(F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    out = proposed.withColumn("__base", base).withColumn("__added", added)
-    return out.withColumns({"base": keyed(F.col("__base")), "spans": keyed(F.concat("__base", "__added"))}).drop("__base", "__added", "proposed")
+    spans = F.filter("proposed", lambda s: s["base"] | (s["loose"] & probable(s)))
+    return proposed.withColumns({"base": keyed(F.filter("proposed", lambda s: s["base"])), "spans": keyed(spans)}).drop("proposed")
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", threshold: float = 0.9) -> DataFrame:
     """docs without the text and with base and spans (see decide)."""
-    proposed, _ = written(propose(docs, text_col), "pii-proposed")
+    proposed, _ = written(propose(docs, text_col), "pii-proposed")  # counted, and read again for the result
     return decide(proposed, threshold)
 
 
@@ -261,4 +389,4 @@ def _count(kind: str) -> Column:
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     numbers = [_count(k).alias(f"n_{k}") for k in KINDS[:4]]
-    return found.select("doc_id", *numbers, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *numbers, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
