@@ -331,19 +331,16 @@ def decide(proposed: DataFrame, threshold: float = 0.9) -> DataFrame:
     """proposed with ``base`` and ``spans``: arrays of (order, start, end, kind),
     by kind and start; spans adds to base what the trained classifier accepts.
 
-    threshold: how probable an added span must be, for the votes (EM) and for
-    votes and classifier together.
+    threshold: how probable an added span must be by its votes (EM), and by votes
+    and classifier together: the odds of the votes times those of each feature.
     """
     each = proposed.select(F.explode("proposed").alias("s")).select("s.*")
     counts: dict[str, dict[str, float]] = {}
     for kind, votes, n in each.groupBy("kind", "votes").count().collect():  # 3^5 for each kind at most
         counts.setdefault(kind, {})[votes] = float(n)
-    trust: dict[str, float] = {}
-    prior: dict[str, float] = {}
-    for kind, by_votes in counts.items():
-        q, share = estimate(by_votes)
-        prior[kind] = math.log(share / (1 - share))
-        trust.update({f"{kind}|{v}": p for v, p in q.items()})
+    trust = {f"{kind}|{v}": p for kind, by_votes in counts.items() for v, p in estimate(by_votes)[0].items()}
+    # Votes alone never make a span more certain than a thousand to one.
+    odds = {k: max(-7.0, min(7.0, math.log(max(p, 1e-12)) - math.log(max(1 - p, 1e-12)))) for k, p in trust.items()}
     p = _lookup(trust, F.concat_ws("|", "kind", "votes"), 0.0)
     soft = each.select("kind", F.explode("features").alias("feature"), p.alias("p"))
     weights: dict[str, float] = {}
@@ -359,10 +356,12 @@ def decide(proposed: DataFrame, threshold: float = 0.9) -> DataFrame:
             for f, yes, no in rows:
                 weights[f"{kind}|{f}"] = math.log((yes + (yes + no) / 10) / (a + (a + b) / 10)) - math.log((no + (yes + no) / 10) / (b + (a + b) / 10))
 
+    least = math.log(threshold / (1 - threshold))
+
     def probable(s: Column) -> Column:
-        votes = _lookup(trust, F.concat_ws("|", s["kind"], s["votes"]), 0.0)
-        score = F.aggregate(s["features"], _lookup(prior, s["kind"], 0.0), lambda acc, f: acc + _lookup(weights, F.concat_ws("|", s["kind"], f), 0.0))
-        return (votes >= threshold) & (1 / (1 + F.exp(-score)) >= threshold)
+        votes = _lookup(odds, F.concat_ws("|", s["kind"], s["votes"]), -7.0)
+        score = F.aggregate(s["features"], votes, lambda acc, f: acc + _lookup(weights, F.concat_ws("|", s["kind"], f), 0.0))
+        return (votes >= least) & (score >= least)
 
     def keyed(spans: Column) -> Column:
         order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
