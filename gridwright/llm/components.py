@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridwright.llm.common import discard, written
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, paths: list[str] | None = None) -> DataFrame:
     """node and component (its smallest node) for every node of edges (a long, b long).
 
     Each round links every node's larger neighbours to its smallest one, then
@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     number of rounds logarithmic in practice, none for stars. A node's smallest neighbour is an
     aggregate (combined before the shuffle) that is joined back, so the
     neighbours of one node never have to meet in a task. Each round is written
-    to the shared folder. Self-links and repeated edges are harmless.
+    to the shared folder. Self-links and repeated edges are harmless. paths: gets
+    the table that the result reads, for the caller to discard.
     """
     spark = edges.sparkSession
     low, high = F.least("a", "b"), F.greatest("a", "b")
@@ -38,5 +39,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now, path = after, new_path
     else:
         raise RuntimeError("components did not settle")
+    if paths is not None:
+        paths.append(path)
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

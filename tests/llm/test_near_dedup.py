@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwright.llm.components import connected_components
-from gridwright.llm.near_dedup import near_duplicates, spanning_links
+from gridwright.llm.near_dedup import _dealt, near_duplicates, spanning_links
 from gridwright.llm.shingles import WordHashes, shingle_sets, sketches
 from tests.llm.odd import collected
 
@@ -53,11 +53,49 @@ def test_one_large_group_of_near_copies(spark):
     rows += [(1000 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(50))) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows, 4)
-    for weight in (1_000_000, 20_000):  # one block, and many
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, k=4, block_weight=weight).collect()}
+    for weight, chunk in ((1_000_000, 64), (20_000, 3)):  # one block, and many
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, k=4, block_weight=weight, chunk=chunk).collect()}
         assert got == want
 
 
+def pair_of(rng, name, n, both):
+    """Two texts of n words whose sets of single words have ``both`` in common."""
+    words = [f"{name}x{i}" for i in range(2 * n - both)]
+    a, b = words[:n], words[n - both :]
+    rng.shuffle(a)
+    rng.shuffle(b)
+    return " ".join(a), " ".join(b)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.800 to 0.85: next to all are found; just below, none."""
+    rng = random.Random(7)
+    rows, want = [], set()
+    for i in range(400):
+        both = rng.randrange(160, 166) if i % 4 else rng.randrange(150, 160)  # of 200 and 200 less these
+        a, b = pair_of(rng, f"p{i}", 180, both)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        if 100 * both >= 80 * (360 - both):
+            want.add(2 * i + 1)
+    got = {r.doc_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).filter("not kept").collect()}
+    assert got <= want and len(got) >= 0.995 * len(want) and len(want) > 250
+
+
+def test_boilerplate_does_not_multiply_sets(spark):
+    """Texts that share two thirds of their words hang together in one cluster without a link."""
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"u{i}x{j}" for j in range(30)])) for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 200, 10)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2, block_weight=20_000).collect()}
+    assert got == brute(rows, 2)
+    # A heavy group of one large component and few others: its sets go out once for each block of the others.
+    groups = spark.range(0, 5000).select(F.lit(True).alias("bucket"), F.lit(7).cast("long").alias("g"), F.col("id").alias("node"), F.when(F.col("id") < 4990, 0).otherwise(F.col("id")).cast("long").alias("comp"), F.lit(900).cast("long").alias("weight"))
+    dealt = _dealt(groups, 400_000).cache()
+    assert dealt.filter("comp = 0").count() == 4990 and dealt.filter("comp <> 0").count() == 10 * 13
+    pairs = dealt.select("x", "y").distinct().collect()
+    assert (0, 0) in [tuple(p) for p in pairs] and all(p.x == 0 for p in pairs)
+
+
 def test_odd_rows(odd, none):
     got = near_duplicates(odd, k=4)
     assert got.count() == odd.count()
