@@ -10,14 +10,16 @@ masks list those character ranges, end exclusive, of each completion.
 
 A pair's strings are put together in parts of ``turns_per_part`` turn numbers,
 so memory is bounded by a part: a longer conversation fills several rows, whose
-strings in part order make up the whole. Ordinary ones have part 0 only.
-
-Defined results: repeated rows for one pair, side and turn count once (the least
-role and text of them); a null role is ``unknown``; null texts are empty; rows
-with a null pair or turn belong to no conversation; a side that has no turns is
-an empty completion; equal sides are all prompt; ``<|`` in a text is written
-``< |``, so that no text can open or close a turn; an empty table gives an empty
-result; extra columns are ignored.
+strings in part order make up the whole. Ordinary ones have part 0 only. Lines are
+dealt by (pair, part), so the parts of one pair go to many tasks; where the prefix
+ends is found from a number for each part, and joined to the parts.
+
+Defined results: repeated rows for one pair, side and turn count once (of several
+the least role and text); very long texts are kept whole; a null role is
+``unknown``; null texts are empty; rows with a null pair or turn belong to no
+conversation; a side that has no turns is an empty completion; equal sides are all
+prompt; ``<|`` in a text is written ``< |``, so that no text can open or close a
+turn; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,12 +69,13 @@ def format_sides(turns: DataFrame, turns_per_part: int = 4096) -> DataFrame:
     one = turns.filter("pair_id is not null and turn is not null").groupBy("pair_id", "turn")
     sides = one.agg(F.min(F.when(F.col("side") != "rejected", said)).alias("c"), F.min(F.when(F.col("side") != "chosen", said)).alias("r"))
     differs = ~F.col("c").eqNullSafe(F.col("r"))
-    lines = sides.select("pair_id", "turn", "c", F.when(differs, F.col("r")).alias("r"), differs.alias("differs"))
-    # Dealt by pair once; grouping by part and the running cut both keep that.
-    part = F.floor(F.col("turn") / F.lit(turns_per_part)).cast("long")
-    parts = lines.withColumn("part", part).repartition("pair_id").groupBy("pair_id", "part")
-    parts = parts.agg(F.array_sort(F.collect_list(F.struct("turn", "c", "r", "differs"))).alias("lines"), F.min(F.when(F.col("differs"), F.col("turn"))).alias("here"))
-    parts = parts.withColumn("cut", F.min("here").over(Window.partitionBy("pair_id").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    part = F.floor(F.col("turn") / F.lit(turns_per_part)).cast("long").alias("part")
+    lines = sides.select("pair_id", part, "turn", "c", F.when(differs, F.col("r")).alias("r"), differs.alias("differs"))
+    here = lines.groupBy("pair_id", "part").agg(F.min(F.when(F.col("differs"), F.col("turn"))).alias("here"))
+    upto = Window.partitionBy("of_pair").orderBy("of_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = here.select(F.col("pair_id").alias("of_pair"), F.col("part").alias("of_part"), "here").withColumn("cut", F.min("here").over(upto)).drop("here")
+    parts = lines.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "c", "r", "differs"))).alias("lines"))
+    parts = parts.join(cuts, (F.col("pair_id") == F.col("of_pair")) & (F.col("part") == F.col("of_part")))
     common, rest = F.filter("lines", _before), F.filter("lines", lambda t: ~_before(t))
     prompt = F.transform(common, lambda t: t["c"])
     chosen = F.filter(F.transform(rest, lambda t: t["c"]), lambda t: t.isNotNull())
@@ -97,16 +100,18 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, turns_per_part: i
 
 def swapped_reply_turns(conversations: DataFrame) -> DataFrame:
     """Pairs for training where no rated ones exist, as format_sides reads them:
-    chosen is each conversation up to its last assistant turn; rejected ends with
-    the last reply of its neighbour (conv_id with the last bit flipped) instead,
-    or an empty one. Of several replies in that turn the greatest text counts."""
+    chosen is each conversation up to its last assistant turn (what follows it is
+    no part of the pair); rejected ends with the last reply of its neighbour
+    (conv_id with the last bit flipped) instead, or an empty one. Of several replies
+    in that turn the greatest text counts. A conversation without a reply is all
+    prompt, with empty completions."""
     turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").filter("pair_id is not null and turn is not null")
     replies = turns.filter("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("l"))
     # Without its text: the conversations are joined with numbers only.
-    last = turns.filter("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("last_turn"))
-    kept = turns.join(last, "pair_id").filter("turn <= last_turn")
+    last = turns.groupBy("pair_id").agg(F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last_turn"))
+    kept = turns.join(last, "pair_id").filter("last_turn is null or turn <= last_turn")
     own = kept.select("pair_id", "turn", "role", "text", F.when(F.col("turn") == F.col("last_turn"), "chosen").otherwise("both").alias("side"))
-    wrong = last.join(replies.select(F.expr("pair_id ^ 1").alias("pair_id"), "l.text"), "pair_id", "left")
+    wrong = last.filter("last_turn is not null").join(replies.select(F.expr("pair_id ^ 1").alias("pair_id"), "l.text"), "pair_id", "left")
     return own.union(wrong.select("pair_id", F.col("last_turn").alias("turn"), F.lit("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.lit("rejected").alias("side")))
 
 

@@ -16,20 +16,27 @@ threshold: no top-k, no cap. A retrieved item counts only if one of its own
 passages reaches the threshold and overlaps its question and its answer (the last
 sentence, where items have no fields of their own).
 
-One narrow pass over whole texts with a broadcast index. Items are indexed in
-blocks of at most ``block_bytes`` of text, one pass for each block, so the
-broadcast is bounded whatever the size of the benchmark. The weights come from the
-number, mean length and term counts of all items, not of a block.
+One narrow pass over whole texts with a broadcast index. Items are dealt by a hash
+of id and text into as many blocks as give about ``block_bytes`` of text each; every
+block is a broadcast variable, made one after another, and a worker goes through
+them one at a time for each batch of documents: neither holds more than one block,
+whatever the size of the benchmark. The weights come from the number, mean length
+and term counts of all items, not of a block.
 
 Items with fewer than ``least_terms`` distinct word pairs can't be told by overlap:
 they are found as exact sequences of words, with a score and overlaps of 1, first
 place first; an item of one word is found wherever that word is. In scripts
 written without spaces between words every character is a word.
 
+An item of one sentence has no answer: all of it is the question, of which
+``question`` has to be there, beside the score; the answer's overlap is then 1.
+
 Defined results: null or empty texts, and items without a word, match nothing;
-equal items are all reported; equal texts get equal
-rows; rows with a null id are reported under null; an empty table on either side
-gives an empty result; extra columns are ignored.
+very long texts are read whole; equal items, and items under one id or none, are all
+reported, by id (null last) and text; of passages that tie the first one counts;
+equal texts and repeated rows get equal rows; rows with a null id are reported under
+null; an empty table on either side gives an empty result; extra columns are carried
+along, but for one named like the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -46,7 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm.common import discard, free_names, table, written
+from gridwright.llm.common import discard, in_turn, table, written
 from gridwright.llm.shingles import by_words
 
 _WORD = re.compile(r"[^\W_]+")
@@ -281,14 +288,15 @@ def terms_of_items(items: DataFrame, split: bool, n_blocks: int, least_terms: in
                     size += [sum(count.values()), *[None] * len(count)]
             yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(block, pa.int64()), pa.array(size, pa.int64())], ["term", "block", "size"])
 
-    rows = items.withColumn("block", block_of(n_blocks).cast("long")).mapInArrow(counted, "term string, block long, size long")
+    rows = items.withColumn("block", block_of(items, n_blocks).cast("long")).mapInArrow(counted, "term string, block long, size long")
     n, size = rows.filter("term IS NULL").agg(F.count("size"), F.sum("size")).first()
     terms = rows.filter("term IS NOT NULL").groupBy("term").agg(F.count("block").alias("n"), F.collect_set("block").alias("blocks"))
     return n, size / n if n else 1.0, terms
 
 
-def block_of(n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))
+def block_of(items: DataFrame, n_blocks: int) -> Column:
+    """By id and text, so that items under one id or none are dealt out too."""
+    return F.pmod(F.xxhash64(*items.columns), F.lit(n_blocks))
 
 
 def overlap_column(docs: DataFrame, items: DataFrame, text_col: str = "text", name: str = "hits", threshold: float = 0.5, question: float = 0.6, answer: float = 0.6, least_terms: int = 5, block_bytes: int = 16_000_000) -> DataFrame:
@@ -308,33 +316,36 @@ def overlap_column(docs: DataFrame, items: DataFrame, text_col: str = "text", na
     names = [f.name for f in hit]
     found = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType() if n in names[1:4] else T.LongType()) for n in names]))
 
-    def against(df: DataFrame, index, column: str) -> DataFrame:
-        def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = index.value
-            for batch in batches:
-                texts = batch.column(text_col).to_pylist()
-                for part in by_words(texts):
-                    hits = [[dict(zip(names, (known.ids[h[0]], *h[1:]))) for h in overlaps(t, known, threshold, question, answer)] if t else [] for t in texts[part]]
-                    head = batch.slice(part.start, part.stop - part.start)
-                    yield pa.RecordBatch.from_arrays([*head.columns, pa.array(hits, pa.list_(hit))], [*head.schema.names, column])
-
-        return df.mapInArrow(searched, T.StructType([*df.schema.fields, T.StructField(column, found)]))
+    shown = [f for f in docs.schema.fields if f.name.lower() != name.lower()]
 
     paths, of_all = [], None
     if n_blocks > 1:
         n, mean, terms = terms_of_items(items, split, n_blocks, least_terms)
         terms, path = written(terms, "decontamination-terms")
         paths.append(path)
-    columns = free_names(docs, *(f"{name}_{i}" for i in range(n_blocks)))
-    out = docs
-    for block, column in enumerate(columns):
-        rows = items.filter(block_of(n_blocks) == block).collect()  # block_bytes of text, about
+    blocks = []
+    for block in range(n_blocks):
+        rows = items.filter(block_of(items, n_blocks) == block).collect()  # block_bytes of text, about
         listed = [(r["item_id"], r["question"] or "", r["answer"] or "") if split else (r["item_id"], *question_answer(r["text"] or "")) for r in rows]
         if n_blocks > 1:
             of_all = n, mean, {tuple(r["term"].split(" ")): r["n"] for r in terms.filter(F.array_contains("blocks", F.lit(block).cast("long"))).select("term", "n").collect()}
-        out = against(out, spark.sparkContext.broadcast(Index(listed, least_terms, of_all=of_all)), column)
+        blocks.append(spark.sparkContext.broadcast(Index(listed, least_terms, of_all=of_all)))
     discard(spark, *paths)
-    return out.select(*[c for c in docs.columns if c.lower() != name.lower()], F.concat(*columns).alias(name))
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            hits: list[list[dict]] = [[] for _ in texts]
+            for known in in_turn(blocks):
+                for i, t in enumerate(texts):
+                    if t:
+                        hits[i] += [dict(zip(names, (known.ids[h[0]], *h[1:]))) for h in overlaps(t, known, threshold, question, answer)]
+            if len(blocks) > 1:
+                hits = [sorted(h, key=lambda x: (x["item_id"] is None, x["item_id"])) for h in hits]
+            for part in by_words(texts):
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(part.start, part.stop - part.start) for f in shown), pa.array(hits[part], pa.list_(hit))], [*(f.name for f in shown), name])
+
+    return docs.mapInArrow(searched, T.StructType([*shown, T.StructField(name, found)]))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -14,13 +14,19 @@
 4. Within a shard, documents stand in an order seeded by ``seed``; whole passes
    take everything, and the rest of the quota takes the first blocks.
 
-DataFrame functions only. Text is read once, to count words; shuffles carry
-(doc_id, source, size). The one window without partitions runs over one row per
-source, never over documents.
+A document's shard and place come from a hash of id, size and, among rows equal in
+id, source and size, its number: such rows are counted first and told apart again
+from the count, ``copies_per_row`` at a time, so rows without an id, or all under one,
+are dealt out like others.
+
+DataFrame functions only. Text is read once, to count words (very long ones too);
+shuffles carry (doc_id, source, size). The one window without partitions runs over
+one row per source, never over documents.
 
 Defined results: null or empty texts have size 0 and are never taken; null
-sources form one source that comes last; equal rows are interchangeable; an
-empty table gives an empty result; extra columns are ignored.
+sources form one source that comes last; repeated rows are documents of their own,
+and interchangeable; ties of quotients go to the smaller rank or shard; an empty
+table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,11 +82,17 @@ def source_targets(sized: DataFrame, weights: Column, max_repeats: int = 3) -> D
     return ranked.withColumn("target", F.least(F.col("weight") * level, cap.cast("double"))).select("source", "rank", "source_size", "source_rows", "weight", "target")
 
 
-def mix_sources(sized: DataFrame, weights: Column | None = None, block_words: int = 8, shard_rows: int = 4096, max_repeats: int = 3, seed: int = 7) -> DataFrame:
+def mix_sources(sized: DataFrame, weights: Column | None = None, block_words: int = 8, shard_rows: int = 4096, max_repeats: int = 3, seed: int = 7, copies_per_row: int = 4096) -> DataFrame:
     """sized (doc_id, source, size) with source_size, target and taken."""
     weights = ((F.col("rank") - 1) % 3 + 1) if weights is None else weights
+    counted = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    last = F.floor((F.col("n") - 1) / F.lit(copies_per_row))
+    runs = counted.select("doc_id", "source", "size", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("run"))
+    # Runs of one key go to many tasks before they become rows.
+    runs = runs.repartition("doc_id", "size", "run")
+    copies = F.sequence(F.col("run") * copies_per_row, F.least(F.col("n"), (F.col("run") + 1) * copies_per_row) - 1)
     # Read three times below: a small table without text.
-    sized, _ = written(sized.select("doc_id", "source", "size"), "mix-sizes")
+    sized, _ = written(runs.select("doc_id", "source", "size", F.explode(copies).alias("copy")), "mix-sizes")
     sources = source_targets(sized, weights, max_repeats)
     whole = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
     seats = F.ceil(whole / F.lit(block_words))
@@ -88,15 +100,15 @@ def mix_sources(sized: DataFrame, weights: Column | None = None, block_words: in
     quotas = quotas.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_rows") / F.lit(shard_rows)))).withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     quotas, _ = written(quotas, "mix-quotas")
 
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    docs = sized.select("doc_id", "source", "size", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("sk"), order.alias("__order"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.col("copy").cast("string")))
+    docs = sized.select("doc_id", "source", "size", "copy", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("sk"), order.alias("__order"))
     docs = docs.join(quotas.select("sk", "rank", "source_size", "target", "source_quota", "shards"), "sk")
     docs = docs.withColumn("__shard", F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") % F.col("shards"))
     cells = docs.groupBy("rank", "__shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("__want"))
     cells = _apportion(cells, ["rank", "__shard"], F.col("__want"), F.col("shard_size"), ["rank"], "__shard")
     cells = cells.select(F.col("rank").alias("__r"), F.col("__shard").alias("__s"), "shard_size", F.least(F.col("quota") * block_words, F.col("shard_size") * max_repeats).alias("__words"))
     docs = docs.join(cells, (F.col("rank") == F.col("__r")) & (F.col("__shard") == F.col("__s")))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("rank", "__shard").orderBy(F.substring("__order", 9, 24), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("rank", "__shard").orderBy(F.substring("__order", 9, 24), "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     passes = F.when(F.col("shard_size") > 0, F.expr("__words div shard_size")).otherwise(0)
     rest = F.when(F.col("shard_size") > 0, F.col("__words") % F.col("shard_size")).otherwise(0)
     docs = docs.withColumn("taken", (passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))).cast("long"))

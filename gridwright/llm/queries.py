@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from gridwright.llm.chat_format import op7_preference_format
 from gridwright.llm.decontam import op1_decontamination
 from gridwright.llm.langid import op8_language_id
@@ -15,7 +14,6 @@ from gridwright.llm.sharding import op2_sharding
 from gridwright.llm.urlfilter import RULES, op6_url_filter
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_license_scan": op3_license_scan,
@@ -94,7 +92,7 @@ p AS (
 b AS (
   SELECT t.conv_id AS pair_id, turn, coalesce(s.role, 'unknown') AS role, coalesce(s.text, '') AS c,
          CASE WHEN turn = last_turn THEN coalesce(wrong, '') ELSE coalesce(s.text, '') END AS r
-  FROM t JOIN p ON t.conv_id = p.conv_id WHERE turn <= last_turn),
+  FROM t LEFT JOIN p ON t.conv_id = p.conv_id WHERE last_turn IS NULL OR turn <= last_turn),
 cut AS (
   SELECT pair_id, min(turn) FILTER (WHERE c <> r) AS cut FROM b GROUP BY pair_id),
 x AS (
@@ -144,7 +142,8 @@ q AS (
   SELECT source, rank, source_size, target, greatest(1, ceil(n / 4096))::BIGINT AS shards,
          q + sign(delta)::BIGINT * coalesce((SELECT count(*) FROM q4 WHERE q4.rank = q2.rank AND q4.n <= abs(q4.delta)), 0) AS want FROM q2),
 o AS (
-  SELECT d.doc_id, d.size, q.*, md5('7:' || coalesce(d.doc_id::VARCHAR, '')) AS h FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+  SELECT d.doc_id, d.size, d.copy, q.*, md5('7:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.size || ':' || d.copy) AS h
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy FROM d) d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 e AS (
   SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % shards AS cell FROM o),
 c0 AS (
@@ -162,7 +161,7 @@ c5 AS (
 c AS (
   SELECT rank, cell, cs, least(8 * (q + sign(delta)::BIGINT * coalesce((SELECT count(*) FROM c5 WHERE c5.rank = c3.rank AND c5.cell = c3.cell AND c5.n <= abs(c5.delta)), 0)), 3 * cs)::BIGINT AS words FROM c3),
 f AS (
-  SELECT e.*, cs, words, coalesce(sum(size) OVER (PARTITION BY e.rank, e.cell ORDER BY substr(h, 9, 24), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  SELECT e.*, cs, words, coalesce(sum(size) OVER (PARTITION BY e.rank, e.cell ORDER BY substr(h, 9, 24), doc_id NULLS FIRST, size, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM e JOIN c ON e.rank = c.rank AND e.cell = c.cell)
 SELECT doc_id, size, source_size, target,
        CASE WHEN cs > 0 THEN (words // cs) * size + greatest(0, least(size, words % cs - before)) ELSE 0 END::BIGINT AS taken

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, slot int, score double, hits string, lang_pred string, component_id long, rank int, target double, base string, packets int, id string, n int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, slot int, score double, hits string, lang_pred string, component_id long, rank int, target double, base string, packets int, id string, n int, __h int, __p int, __best int, __i int, __s int, __n int, __gone int, __hash int, gone int, hashed int, times int, of int, words int, text_hash int, node int, `from` int, copy int, kept int"
 
 LONG = " ".join(f"word{i % 977} of the {i}" for i in range(40_000))
 EN = "The thing that they were reading in the other house is not the one that was for them. " * 4
@@ -16,7 +16,7 @@ def rows():
     ]
     out = [(i, t, [None, "en", "fr"][i % 3], [None, "s1", "s2", ""][i % 4]) for i, t in enumerate(texts)]
     out += [(7, EN, "en", "s1"), (7, EN, "en", "s1"), (7, FR, "fr", "s1"), (None, EN, "en", "s1"), (None, None, None, None), (2**60 + 1, EN, "en", None)]
-    return [(*r, None, 5, 1, 2, 0.5, "h", "zz", 9, 3, 1.5, "b", 4, "i", 6) for r in out]
+    return [(*r, None, 5, 1, 2, 0.5, "h", "zz", 9, 3, 1.5, "b", 4, "i", 6, *range(18)) for r in out]
 
 
 def odd_docs(spark):

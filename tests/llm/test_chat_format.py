@@ -38,6 +38,8 @@ def test_against_brute_force(spark, data):
             chosen = [t for t in ts if t[0] <= last[c][0]]
             wrong = last.get(c ^ 1)
             want[c] = brute(chosen, [(t, a, (wrong[2] if wrong else "") if t == last[c][0] else x) for t, a, x in chosen])
+        else:
+            want[c] = brute(ts, ts)
     got = op7_preference_format(spark, data).collect()
     assert {r.pair_id for r in got} == set(want)
     for r in got:
@@ -71,3 +73,26 @@ def test_long_conversations_fill_parts(spark):
     assert len(parts) == 8
     for name in ("prompt", "chosen", "rejected"):
         assert "".join(r[name] for r in parts) == whole[name]
+
+
+def test_one_pair_fills_many_tasks(spark):
+    """The parts of a pair meet in no window or task; the cut holds for all of them."""
+    from pyspark.sql import functions as F
+
+    turns = spark.range(0, 3000).select(F.lit(1).cast("long").alias("pair_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    other = turns.withColumn("text", F.when(F.col("turn") < 1701, F.col("text")).otherwise("else"))
+    df = format_preferences(turns, other, turns_per_part=50)
+    rows = {r.part: r for r in df.collect()}
+    assert sorted(rows) == list(range(60)) and sum(r.prompt_turns for r in rows.values()) == 1701
+    assert rows[33].chosen == "" and rows[34].prompt_turns == 1 and rows[35].prompt == ""
+    tasks = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1 or int(spark.conf.get("spark.sql.shuffle.partitions")) == 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_a_conversation_without_a_reply_is_all_prompt(spark):
+    from gridwright.llm.chat_format import format_sides, swapped_reply_turns
+
+    rows = [(1, 0, "user", "hi"), (1, 1, "user", "there"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 2, "user", "thanks")]
+    got = {r.pair_id: r for r in format_sides(swapped_reply_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert (got[1].prompt_turns, got[1].chosen, got[1].rejected) == (2, "", "")
+    assert got[2].prompt_turns == 1 and "thanks" not in got[2].prompt + got[2].chosen and got[2].rejected.endswith(f"{OPEN}assistant\n{CLOSE}\n")

@@ -158,3 +158,35 @@ def test_scores_do_not_depend_on_blocks(spark):
     found = lambda **k: {(r[0], r[1]): r.score for r in find_contamination(docs, table, **k).collect()}
     whole, blocks = found(), found(block_bytes=500)
     assert whole == pytest.approx(blocks) and len(whole) > 50
+
+
+def test_ten_blocks_give_what_one_gives(spark, data, documents):
+    """Items under one id or none are dealt out as well; one block is in memory at a time."""
+    from pyspark.sql import functions as F
+
+    from gridwright.llm.common import in_turn
+    from gridwright.llm.decontam import block_of
+
+    items = spark.read.parquet(f"{data}/benchmark.parquet").select(F.when(F.col("item_id") % 3 == 0, 7).when(F.col("item_id") % 3 == 1, F.col("item_id")).alias("item_id"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0]
+    rows = lambda n: sorted(map(repr, collected(find_contamination(documents, items, block_bytes=size // n + 1), "doc_id", "item_id", "question_overlap", "answer_overlap", "first_word")))
+    assert rows(1) == rows(10) and rows(1)
+    assert items.filter("item_id is null").select(block_of(items, 10)).distinct().count() > 3
+    parts = [spark.sparkContext.broadcast(i) for i in range(3)]
+
+    def held(batches):
+        for batch in batches:
+            seen = [(v, sum("_value" in p.__dict__ for p in parts)) for v in in_turn(parts)]
+            assert seen == [(0, 1), (1, 1), (2, 1)]
+            yield batch
+
+    assert spark.range(3).mapInArrow(held, "id long").count() == 3
+
+
+def test_one_sentence_items(spark):
+    item = "the seven rivers of the northern plain freeze over in every hard winter"
+    words = item.split()
+    docs = spark.createDataFrame([(1, item), (2, " ".join(words[:10])), (3, " ".join(words[:4]))], "doc_id long, text string")
+    others = [(i, " ".join(f"o{i}w{j}" for j in range(13))) for i in range(9)]
+    got = find_contamination(docs, spark.createDataFrame([(99, item), *others], "item_id long, text string"))
+    assert collected(got, "doc_id", "answer_overlap") == [(1, 1.0), (2, 1.0)]

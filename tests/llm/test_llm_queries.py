@@ -10,8 +10,12 @@ def test_against_sql(spark, data, name):
 
 
 def test_names():
-    assert sorted(QUERIES) == sorted(["pipeline"] + [n for n in QUERIES if n.startswith("op")])
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 11))
+    import __spark_entry__
+    import corpus_pipeline
+
+    names = [n for n in __spark_entry__.queries() if n == "pipeline" or n.startswith("op")]
+    assert sorted(names) == sorted(["pipeline", *QUERIES]) and __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
 
 
 @pytest.mark.parametrize("name", ["op6_url_filter", "op9_pii", "op10_source_mixing"])

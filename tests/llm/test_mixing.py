@@ -80,3 +80,17 @@ def test_odd_rows(odd, none):
 def test_one_empty_source(spark):
     df = spark.createDataFrame([(1, "a", 0), (2, "b", 10)], "doc_id long, source string, size long")
     assert sorted((r.doc_id, r.taken) for r in mix_sources(df, block_words=5).collect()) == [(1, 0), (2, 10)]
+
+
+def test_rows_without_an_id_are_dealt_out(spark):
+    """20,000 rows under no id or one id, of one size: spread over shards, and over tasks."""
+    rows = spark.range(0, 20_000, 1, 4).select(F.when(F.col("id") % 2 == 0, F.lit(5)).cast("long").alias("doc_id"), F.when(F.col("id") % 5 > 0, "s").alias("source"), F.lit(3).cast("long").alias("size"))
+    got = mix_sources(rows, block_words=8, shard_rows=500, copies_per_row=100).cache()
+    assert got.count() == 20_000 and got.groupBy("doc_id", "source").count().count() == 4
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 8 + 0.001 * r.target  # a shard at its cap can lose a part of a block
+    again = mix_sources(rows.repartition(3), block_words=8, shard_rows=500, copies_per_row=100)
+    per = lambda df: sorted(map(repr, collected(df.groupBy("doc_id", "source", "taken").count())))
+    assert per(got) == per(again)
+    spread = got.groupBy("doc_id", "source", "taken").count().count()
+    assert spread >= 4

@@ -74,6 +74,9 @@ def test_odd_rows(spark, data, odd, none):
     for name, stage in cp.STAGES:
         out = stage(spark, odd, data)
         assert set(odd.columns) <= set(out.columns)
+        # Columns that are named like the stages' own come out as they went in.
+        own = [c for c in odd.columns if c.startswith("__") or c in ("gone", "hashed", "times", "of", "words", "text_hash", "node", "from", "copy", "kept")]
+        assert len(own) == 18 and {tuple(r) for r in out.select(*own).collect()} == {tuple(range(18))}
         assert out.count() <= 3 * odd.count()
         assert stage(spark, none, data).count() == 0, name
     kept = cp.near_dedup_stage(spark, odd, data)
