@@ -27,8 +27,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps the document with the smallest id of each component of texts alike
     in 0.8 or more of their five-word shingles. Rows repeated under one id with
     one text are one document and stay together; a null id stays."""
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    gone, hashed = free_names(docs, "gone", "hashed")
+    left = near_dedup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(gone), F.col("text_hash").alias(hashed)).distinct()
+    return docs.join(left, (F.col("doc_id") == F.col(gone)) & (F.xxhash64("text") == F.col(hashed)), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +42,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: its words taken over its words,
     rounded, so only a document at the edge of a quota gains or loses a part."""
-    size, times = free_names(docs, "__size", "__times")
+    size, times, of, source, words = free_names(docs, "words", "times", "of", "from", "sized")
     sized = docs.withColumn(size, word_count(F.col("text")))
     mixed = mixing.mix_sources(sized.select("doc_id", "source", F.col(size).alias("size")))
     per = mixed.groupBy("doc_id", "source", "size").agg(F.floor(F.try_divide(F.sum("taken"), F.count(F.lit(1)) * F.first("size")) + 0.5).cast("int").alias(times))
-    per = per.filter(F.col(times) > 0).select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), times)
-    joined = sized.join(per, F.col("doc_id").eqNullSafe(F.col("__i")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col(size) == F.col("__n")))
+    per = per.filter(F.col(times) > 0).select(F.col("doc_id").alias(of), F.col("source").alias(source), F.col("size").alias(words), times)
+    joined = sized.join(per, F.col("doc_id").eqNullSafe(F.col(of)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(size) == F.col(words)))
     return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(times)).select(*docs.columns)
 
 
