@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from gridwright.llm.common import discard, table, written
 from gridwright.llm.components import connected_components
-from gridwright.llm.shingles import WordHashes, band_keys, by_words, shingle_sets, sketches
+from gridwright.llm.shingles import WordHashes, band_keys, parts_of, shingle_sets, sketches
 
 
 def _fingerprint(s: np.ndarray) -> bytes | None:
@@ -53,9 +53,8 @@ def sketch_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in by_words(texts):
-                sets = shingle_sets(texts[part], k, hashes)
+            for part, texts in parts_of(batch.column("text")):
+                sets = shingle_sets(texts, k, hashes)
                 full = [s for s in sets if len(s)]
                 keys = band_keys(sketches(full, bands * rows), bands).view(np.int64)
                 ends = np.cumsum([0] + [bands * bool(len(s)) for s in sets])
@@ -205,10 +204,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, done = WordHashes(), set()
         for batch in batches:
-            columns = batch.to_pydict()
-            for part in by_words(columns["text"]):
+            columns = batch.select(["node", "fp"]).to_pydict()
+            for part, texts in parts_of(batch.column("text")):
                 rows: list[tuple[int, int, bytes]] = []
-                for i, s in enumerate(shingle_sets(columns["text"][part], k, hashes), part.start):
+                for i, s in enumerate(shingle_sets(texts, k, hashes), part.start):
                     # Rows repeated under one id give one set; another text of the same hash gives none.
                     if columns["node"][i] not in done and _fingerprint(s) == columns["fp"][i]:
                         done.add(columns["node"][i])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -21,7 +23,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word, remembered for up to ``most`` words."""
 
-    def __init__(self, most: int = 200_000) -> None:
+    def __init__(self, most: int = 60_000) -> None:
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -103,3 +105,15 @@ def by_words(texts: list[str | None], most: int = 1_500_000) -> Iterator[slice]:
         size += len(text or "")
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def parts_of(texts: pa.Array, most: int = 400_000) -> Iterator[tuple[slice, list[str | None]]]:
+    """The same of an Arrow column, each slice with its texts: no more of them are
+    Python strings at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        done = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, done + most, "right")))
+        yield slice(start, stop), texts.slice(start, stop - start).to_pylist()
+        start = stop
