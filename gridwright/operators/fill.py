@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from gridwright.functions.coerce import is_empty, is_numeric, is_text, put, to_number
 from gridwright.functions.params import choice, float_or, given_or, leading_float
 from gridwright.operators import LITERAL
-from gridwright.operators.statistics import most_frequent, percentiles
+from gridwright.operators.statistics import most_frequent_of, percentiles_of
 from gridwright.sources.grid import POS, Grid, ToolResult
 from gridwright.sources.positions import carried
 
@@ -33,8 +33,9 @@ def _means(grid: Grid, indices: list[int], mode: str) -> dict[int, float]:
 
 
 def _medians(grid: Grid, indices: list[int], mode: str) -> dict[int, float]:
-    numbers = _numbers(grid, indices, mode)
-    return {i: percentiles(grid.df, numbers[i], [0.5])[0] or 0.0 for i in indices}
+    """The same passes for all columns."""
+    found = percentiles_of(grid.df, list(_numbers(grid, indices, mode).values()), [0.5])
+    return {i: middle or 0.0 for i, (middle,) in zip(indices, found)}
 
 
 def _fill_with(grid: Grid, values: dict[int, Any]) -> Grid:
@@ -120,7 +121,8 @@ def missing_strategy(grid: Grid, params: dict[str, Any], mode: str = LITERAL) ->
         out = _fill_with(grid, {i: given_or(params, "constant_value", 0) for i in indices})
     elif strategy == "mode":
         position = grid.position if grid.ordered else None
-        modes = {i: most_frequent(grid.df, F.when(~is_empty(grid.col(i), grid.type(i)), grid.text(i)), position, mode == LITERAL) for i in indices}
+        cells = [F.when(~is_empty(grid.col(i), grid.type(i)), grid.text(i)) for i in indices]
+        modes = dict(zip(indices, most_frequent_of(grid.df, cells, position, mode == LITERAL)))
         changes = {}
         for i, v in modes.items():
             c, t = grid.col(i), grid.type(i)

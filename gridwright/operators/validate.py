@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import Any
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +75,9 @@ _BYTE = r"^(?:0[xX]0*[0-9a-fA-F]{0,2}|0[0-3]?[0-7]{0,2}|[1-9]?[0-9]|1[0-9]{2}|2[
 def check_urls(df: DataFrame, s: Column, valid: str, scheme: str) -> DataFrame:
     """df with two columns: whether a text is an absolute URL by the living
     standard's parser, and its scheme. Covers schemes, user info, ports, IPv4 and
-    bracketed IPv6 hosts, forbidden host characters, and opaque paths; names are
-    not mapped by IDNA. Steps are columns of their own, as each is used often."""
+    bracketed IPv6 hosts, forbidden host characters, and opaque paths. Names beyond
+    ASCII are mapped by IDNA (RFC 3490), as the Java runtime does. Steps are columns
+    of their own, as each is used often."""
     c = {k: F.col(f"__url_{k}") for k in ("s", "rest", "host_port", "host", "tail", "decoded", "numbers")}
     sch = F.col(scheme)
     df = df.withColumn("__url_s", F.regexp_replace(trimmed(s), r"^[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]", ""))
@@ -87,6 +89,9 @@ def check_urls(df: DataFrame, s: Column, valid: str, scheme: str) -> DataFrame:
     bracketed = c["host_port"].startswith("[")
     df = df.withColumn("__url_host", F.when(bracketed, F.regexp_extract(c["host_port"], r"^(\[[^\]]*\])", 1)).otherwise(F.regexp_extract(c["host_port"], r"^([^:]*)", 1)))
     decoded = F.when(c["host"].contains("%"), F.coalesce(F.try_url_decode(F.replace(c["host"], F.lit("+"), F.lit("%2B"))), F.lit("%"))).otherwise(c["host"])
+    # What cannot be mapped becomes a forbidden character.
+    mapped = F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), decoded), F.lit("%"))
+    decoded = F.when(decoded.rlike(r"[^\x00-\x7f]"), mapped).otherwise(decoded)
     df = df.withColumns({"__url_tail": F.substring(c["host_port"], F.length(c["host"]) + 1, F.length(c["host_port"])), "__url_decoded": decoded})
     df = df.withColumn("__url_numbers", F.split(F.regexp_replace(c["decoded"], r"\.\z", ""), r"\.", -1))
     port = F.regexp_extract(c["tail"], r"^:([0-9]*)\z", 1)
@@ -139,6 +144,19 @@ def _bound(params: dict[str, Any], name: str) -> float | None:
     return None if params.get(name) == "" else leading_float(params.get(name))
 
 
+def _compiled(grid: Grid, source: str) -> str | None:
+    """The pattern for Java; None if it is broken. Any other failure is raised."""
+    try:
+        java = Pattern(source).java
+    except ValueError:
+        return None
+    try:
+        grid.spark.sparkContext._jvm.java.util.regex.Pattern.compile(java)
+    except IllegalArgumentException:  # a syntax exception is one
+        return None
+    return java
+
+
 def invalid_values(grid: Grid, params: dict[str, Any], mode: str = LITERAL) -> ToolResult:
     """rule_type: not_null, range (min_val, max_val), allowed_list or regex
     (regex_pattern); action: flag (is_invalid), replace_null or remove. Literally,
@@ -159,12 +177,8 @@ def invalid_values(grid: Grid, params: dict[str, Any], mode: str = LITERAL) -> T
         allowed = [s.strip() for s in text_or(params, "allowed_list", "").split(",")]
         bad = ~trimmed(grid.text(i)).isin(allowed)
     else:
-        try:
-            java = Pattern(text_or(params, "regex_pattern", "")).java
-            grid.spark.sql("SELECT rlike('', :p)", {"p": java}).first()  # does it compile?
-            bad = ~grid.text(i).rlike(java)
-        except Exception:  # noqa: BLE001  a broken pattern matches nothing
-            bad = F.lit(True)
+        java = _compiled(grid, text_or(params, "regex_pattern", ""))
+        bad = F.lit(True) if java is None else ~grid.text(i).rlike(java)  # a broken pattern matches nothing
     if action == "flag":
         out = grid.add([("is_invalid", bad.cast("int"))])
     elif action == "replace_null":

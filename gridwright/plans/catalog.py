@@ -7,16 +7,19 @@ prepared columns, called t.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridwright.operators import INTENDED, LITERAL
 from gridwright.plans.registry import chain, run
 from gridwright.sources import grid as g
 from gridwright.sources.grid import Grid
+from gridwright.sources.shared import discard, shared_dir, written
 
 
 @dataclass
@@ -79,7 +82,10 @@ CALLS = "c_custkey, CASE WHEN c_custkey % 4 = 0 THEN concat('+1 212', CAST(20000
 DAYS = "o_orderkey, o_orderdate AS d"
 DAY_TEXT = "o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'not-a-date' WHEN o_orderkey % 5 = 1 THEN '' WHEN o_orderkey % 5 = 2 THEN NULL WHEN o_orderkey % 5 = 3 THEN concat(CAST(1990 + o_orderkey % 30 AS VARCHAR(4)), '/', CAST(1 + o_orderkey % 12 AS VARCHAR(2)), '/', CAST(1 + o_orderkey % 28 AS VARCHAR(2))) ELSE '2024-02-29' END AS d"
 PRICES = "o_orderkey, o_totalprice AS x"
-BLANKS = "doc_id, CASE WHEN doc_id % 5 = 0 THEN concat('caf', '\N{REPLACEMENT CHARACTER}', ' ', lang) WHEN doc_id % 5 = 1 THEN concat(chr(194), 'ge') ELSE lang END AS s"
+BLANKS = "doc_id, CASE WHEN doc_id % 5 = 0 THEN concat(text, ' caf', '\N{REPLACEMENT CHARACTER}', ' ', text) WHEN doc_id % 5 = 1 THEN concat(chr(194), 'ge ', text) ELSE text END AS s"
+REGIONS = "c_custkey, CASE WHEN c_custkey % 4 = 0 THEN concat('+49 30', CAST(1000000 + c_custkey AS VARCHAR(20))) WHEN c_custkey % 4 = 1 THEN concat('01', CAST(20000000 + c_custkey AS VARCHAR(20))) WHEN c_custkey % 4 = 2 THEN concat('+44 20', CAST(70000000 + c_custkey AS VARCHAR(20))) ELSE concat('138', CAST(10000000 + c_custkey AS VARCHAR(20))) END AS s"
+ACCENTS = "c_custkey, CASE WHEN c_custkey % 3 = 0 THEN concat('\N{LATIN SMALL LIGATURE FI}n \N{CIRCLED DIGIT ONE} \N{LATIN SMALL LETTER E WITH ACUTE}A ', c_name) WHEN c_custkey % 3 = 1 THEN concat('e\N{COMBINING ACUTE ACCENT} ', c_name) ELSE c_name END AS s"
+LINES = "p_partkey, concat(p_name, chr(10), p_brand, chr(10), p_type) AS s"
 
 _TITLE = "list_transform(regexp_extract_all(s, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda r: CASE WHEN regexp_matches(r, '^[A-Za-z0-9_]') THEN upper(r[1]) || r[2:] ELSE r END)"
 _NUM = "CASE WHEN s IS NULL THEN NULL WHEN trim(s) = '' THEN 0 ELSE try_cast(trim(s) AS DOUBLE) END"
@@ -143,22 +149,32 @@ CASES: dict[str, Case] = {
     "normalize_nfc": Case("documents", "doc_id, text", "normalize-text", {"column": "text", "operations": "nfc"}, "SELECT doc_id, nfc_normalize(text) AS text FROM t"),
     "normalize_remove_accents": Case("documents", "doc_id, text", "normalize-text", {"column": "text", "operations": "remove_accents"}, "SELECT doc_id, strip_accents(text) AS text FROM t"),
     "normalize_lowercase": Case("documents", "doc_id, text", "normalize-text", {"column": "text", "operations": "lowercase"}, "SELECT doc_id, lower(text) AS text FROM t"),
+    "normalize_nfkc_text": Case("customer", ACCENTS, "normalize-text", {"column": "s", "operations": "nfkc"}, "SELECT c_custkey, nfc_normalize(replace(replace(s, '\N{LATIN SMALL LIGATURE FI}', 'fi'), '\N{CIRCLED DIGIT ONE}', '1')) AS s FROM t"),
+    "normalize_nfd": Case("customer", ACCENTS, "normalize-text", {"column": "s", "operations": "nfd"}, "SELECT c_custkey, replace(s, '\N{LATIN SMALL LETTER E WITH ACUTE}', 'e\N{COMBINING ACUTE ACCENT}') AS s FROM t"),
+    "normalize_all": Case("customer", ACCENTS, "normalize-text", {"column": "s", "operations": "all"}, "SELECT c_custkey, lower(strip_accents(replace(replace(s, '\N{LATIN SMALL LIGATURE FI}', 'fi'), '\N{CIRCLED DIGIT ONE}', '1'))) AS s FROM t"),
     "empty_rows": Case("customer", SPARSE, "remove-empty-rows", {"threshold": "50"}, "SELECT * FROM t WHERE 100.0 * ((a IS NULL)::INT + (trim(coalesce(b, '')) = '')::INT + (d IS NULL)::INT) / 4 < 50"),
     "empty_cols": Case("customer", SPARSE, "remove-empty-cols", {"threshold": "40"}, "SELECT c_custkey, a, d FROM t"),
     "regex_replace": Case("customer", "c_custkey, c_name", "regex-replace", {"column": "c_name", "pattern": "([a-z]+)#(\\d)", "replacement": "$2<$1>$$"}, "SELECT c_custkey, regexp_replace(c_name, '([a-z]+)#([0-9])', '\\2<\\1>$', 'g') AS c_name FROM t"),
     "regex_replace_ignore_case": Case("customer", "c_custkey, c_name", "regex-replace", {"column": "c_name", "pattern": "CUST", "replacement": "[$&]", "flags": "case_insensitive"}, "SELECT c_custkey, regexp_replace(c_name, 'CUST', '[\\0]', 'gi') AS c_name FROM t"),
+    "regex_replace_multiline": Case("part", LINES, "regex-replace", {"column": "s", "pattern": "^.", "replacement": "<$&>", "flags": "multiline"}, "SELECT p_partkey, regexp_replace(s, '(?m)^.', '<\\0>', 'g') AS s FROM t"),
+    "regex_replace_dotall": Case("part", LINES, "regex-replace", {"column": "s", "pattern": "#.*$", "replacement": "!", "flags": "dotall"}, "SELECT p_partkey, regexp_replace(s, '(?s)#.*$', '!') AS s FROM t"),
     "email_flag": Case("customer", MAILS, "validate-email", {"column": "s"}, f"SELECT *, {_EMAIL} AS email_valid FROM t"),
     "email_remove": Case("customer", MAILS, "validate-email", {"column": "s", "action": "remove_invalid"}, f"SELECT c_custkey, CASE WHEN {_EMAIL} = 1 THEN s END AS s FROM t"),
     "email_extract": Case("customer", MAILS, "validate-email", {"column": "s", "action": "extract_valid"}, f"SELECT * FROM t WHERE {_EMAIL} = 1"),
     "phone_flag_auto": Case("customer", CALLS, "validate-phone", {"column": "s"}, "SELECT *, CAST(regexp_full_match(replace(s, ' ', ''), '[+0-9()-]{7,20}') AS INT) AS phone_valid FROM t"),
     "phone_flag_us": Case("customer", CALLS, "validate-phone", {"column": "s", "region": "US"}, "SELECT *, CAST(regexp_full_match(replace(s, ' ', ''), '([+]1)?[2-9][0-9]{2}[2-9][0-9]{6}') AS INT) AS phone_valid FROM t"),
     "phone_remove_ir": Case("customer", CALLS, "validate-phone", {"column": "s", "region": "IR", "action": "remove_invalid"}, "SELECT c_custkey, CASE WHEN regexp_full_match(replace(s, ' ', ''), '([+]98|0098|0)?9[0-9]{9}') THEN s END AS s FROM t"),
+    "phone_flag_de": Case("customer", REGIONS, "validate-phone", {"column": "s", "region": "DE"}, "SELECT *, CAST(regexp_full_match(replace(s, ' ', ''), '([+]49)?[1-9][0-9]{9,11}') AS INT) AS phone_valid FROM t"),
+    "phone_flag_fr": Case("customer", REGIONS, "validate-phone", {"column": "s", "region": "FR"}, "SELECT *, CAST(regexp_full_match(replace(s, ' ', ''), '([+]33|0)[1-9][0-9]{8}') AS INT) AS phone_valid FROM t"),
+    "phone_flag_gb": Case("customer", REGIONS, "validate-phone", {"column": "s", "region": "GB"}, "SELECT *, CAST(regexp_full_match(replace(s, ' ', ''), '([+]44|0)[1-9][0-9]{9}') AS INT) AS phone_valid FROM t"),
+    "phone_flag_cn": Case("customer", REGIONS, "validate-phone", {"column": "s", "region": "CN"}, "SELECT *, CAST(regexp_full_match(replace(s, ' ', ''), '([+]86)?1[3-9][0-9]{9}') AS INT) AS phone_valid FROM t"),
     "phone_normalize": Case("customer", CALLS, "validate-phone", {"column": "s", "action": "normalize"}, "SELECT c_custkey, CASE WHEN regexp_full_match(replace(s, ' ', ''), '[+0-9()-]{7,20}') THEN regexp_replace(s, '[^0-9+]', '', 'g') ELSE s END AS s FROM t"),
     "url_flag": Case("pages", "page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, '://', ':// ') WHEN page_id % 3 = 1 THEN replace(url, 'http', 'ftp') ELSE url END AS u", "validate-url", {"column": "u"}, "SELECT *, CAST(regexp_matches(u, '^https?://[^ /?#]') AS INT) AS url_valid FROM t"),
     "url_remove_any_scheme": Case("pages", "page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, '://', ' ') WHEN page_id % 3 = 1 THEN concat('mailto:', CAST(page_id AS VARCHAR(9))) ELSE url END AS u", "validate-url", {"column": "u", "action": "remove_invalid", "check_scheme": "false"}, "SELECT page_id, CASE WHEN page_id % 3 > 0 THEN u END AS u FROM t"),
     "encoding_fix": Case("documents", BLANKS, "detect-encoding", {"column": "s", "fix_encoding": "true"}, "SELECT doc_id, replace(s, '\N{REPLACEMENT CHARACTER}', '?') AS s FROM t"),
     "currency_manual": Case("orders", PRICES, "currency-convert", {"column": "x", "manual_rate": "0.92"}, "SELECT *, round(x * 0.92, 4) AS \"x_EUR\" FROM t"),
     "currency_static": Case("orders", PRICES, "currency-convert", {"column": "x", "rate_source": "live", "to_currency": "IRR", "from_currency": "CNY"}, "SELECT *, round(x * (CAST(0.138 AS DOUBLE) * CAST(42000 AS DOUBLE)), 4) AS \"x_IRR\" FROM t"),
+    "currency_rates": Case("orders", PRICES, "currency-convert", {"column": "x", "rate_source": "live", "to_currency": "GBP", "rates": {"GBP": 0.75}}, "SELECT *, round(x * 0.75, 4) AS \"x_GBP\" FROM t"),
     "unit_length": Case("lineitem", "l_orderkey, l_quantity AS x", "unit-convert", {"column": "x", "from_unit": "mi", "to_unit": "km"}, "SELECT *, round(x * 1609.344 / 1000, 6) AS x_km FROM t"),
     "unit_mass": Case("lineitem", "l_orderkey, l_quantity AS x", "unit-convert", {"column": "x", "category": "mass", "from_unit": "lb", "to_unit": "g"}, "SELECT *, round(x * 0.453592 / 0.001, 6) AS x_g FROM t"),
     "unit_temperature": Case("lineitem", "l_orderkey, l_quantity AS x", "unit-convert", {"column": "x", "category": "temperature", "from_unit": "F", "to_unit": "C"}, "SELECT *, round((x - 32) * 5 / 9, 6) AS \"x_C\" FROM t"),
@@ -182,6 +198,8 @@ CASES: dict[str, Case] = {
     "missing_mean": Case("events", GAPS, "missing-strategy", {"column": "v"}, "SELECT event_id, coalesce(v, avg(v) OVER ()) AS v FROM t", post="event_id, round(v, 6) AS v"),
     "missing_median": Case("events", GAPS, "missing-strategy", {"column": "v", "strategy": "median"}, "SELECT event_id, coalesce(v, (SELECT quantile_cont(v, 0.5) FROM t)) AS v FROM t", post="event_id, round(v, 6) AS v"),
     "missing_mode": Case("orders", NAMED, "missing-strategy", {"column": "p", "strategy": "mode"}, "SELECT o_orderkey, coalesce(p, (SELECT p FROM t WHERE p IS NOT NULL GROUP BY p ORDER BY count(*) DESC, min(o_orderkey) LIMIT 1)) AS p FROM t", "o_orderkey"),
+    "missing_mode_all": Case("orders", "o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderpriority END AS p, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS q", "missing-strategy", {"strategy": "mode"}, "SELECT o_orderkey, coalesce(p, (SELECT p FROM t WHERE p IS NOT NULL GROUP BY p ORDER BY count(*) DESC, min(o_orderkey) LIMIT 1)) AS p, coalesce(q, (SELECT q FROM t WHERE q IS NOT NULL GROUP BY q ORDER BY count(*) DESC, min(o_orderkey) LIMIT 1)) AS q FROM t", "o_orderkey"),
+    "missing_median_all": Case("lineitem", "CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_extendedprice END AS a, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_quantity END AS b, l_discount AS c", "missing-strategy", {"strategy": "median"}, "SELECT coalesce(a, (SELECT quantile_cont(a, 0.5) FROM t)) AS a, coalesce(b, (SELECT quantile_cont(b, 0.5) FROM t)) AS b, c FROM t", post="round(a, 6) AS a, round(b, 6) AS b, c"),
     "missing_constant": Case("events", GAPS, "missing-strategy", {"column": "v", "strategy": "constant", "constant_value": -1}, "SELECT event_id, coalesce(v, -1) AS v FROM t"),
     "missing_forward_fill": Case("events", RUNS, "missing-strategy", {"column": "v", "strategy": "forward_fill"}, "SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM t", "event_id"),
     "missing_backward_fill": Case("events", RUNS, "missing-strategy", {"column": "v", "strategy": "backward_fill"}, "SELECT event_id, first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM t", "event_id"),
@@ -227,6 +245,30 @@ def _delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.delete_rows(grid, late).frame()
 
 
+def _delete_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.delete_rows(_grid_of(spark, sf_dir, "nation", ["n_nationkey", "n_name"], "n_nationkey"), [3, 3, 7, 24, 99]).frame()
+
+
+def _sheet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet written, listed, read by name, and its columns named."""
+    name = f"sheet_{uuid.uuid4().hex}"
+    g.add_sheet(_grid_of(spark, sf_dir, "supplier", ["s_suppkey", "s_name"], "s_suppkey"), name)
+    assert name in g.sheet_names(spark)
+    back = g.read_sheet(spark, name, "s_suppkey")
+    out, path = written(back.frame().select(*g.column_names(back)), "sheet")
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def _files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid written as CSV and read again, all cells as text."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = g.write_files(_grid_of(spark, sf_dir, "customer", ["c_custkey", "c_name"], "c_custkey"), path, "csv", header=True)
+    out, _ = written(g.read_files(spark, path, "csv").frame().withColumn("rows", F.lit(rows).cast("long")), "csv-read")
+    discard(spark, path)
+    return out
+
+
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = Grid.of(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"])
     return grid.df.select("o_orderkey", grid.position.alias("position"))
@@ -237,6 +279,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _report(case, columns) for name, (case, columns) in REPORTS.items()},
     "sheet_range": _sheet_range,
     "sheet_delete_rows": _delete_rows,
+    "sheet_delete_listed": _delete_listed,
+    "sheet_round_trip": _sheet_round_trip,
+    "sheet_files": _files_round_trip,
+    "sheet_from_records": lambda s, d: g.from_records(s, [{"name": f"n{i}", "half": i / 2, "odd": None if i % 2 else "x"} for i in range(6)]).frame(),
+    "sheet_column_values": lambda s, d: g.column_values(_grid_of(s, d, "part", ["p_partkey", "p_name"], "p_partkey"), 1),
     "sheet_positions": _numbered,
     "sheet_add_column": lambda s, d: g.add_column(_grid_of(s, d, "nation", ["n_nationkey", "n_name"], "n_nationkey"), "rank", list(range(100, 125))).frame(),
     "sheet_update_column": lambda s, d: g.update_column(_grid_of(s, d, "nation", ["n_nationkey", "n_name"], "n_nationkey"), "n_name", [f"n{i}" for i in range(20)]).frame(),
@@ -249,6 +296,11 @@ ORACLE_SQL: dict[str, str] = {
     **{name: case.sql for name, (case, _) in REPORTS.items()},
     "sheet_range": 'SELECT CAST(c_custkey AS VARCHAR) AS "key", c_name AS name FROM customer WHERE c_custkey BETWEEN 6 AND 25',
     "sheet_delete_rows": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'",
+    "sheet_delete_listed": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (3, 7, 24)",
+    "sheet_round_trip": "SELECT s_suppkey, s_name FROM supplier",
+    "sheet_files": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, (SELECT count(*) FROM customer) AS rows FROM customer",
+    "sheet_from_records": "SELECT 'n' || i AS name, i / 2.0 AS half, CASE WHEN i % 2 = 0 THEN 'x' ELSE '' END AS odd FROM range(6) AS r(i)",
+    "sheet_column_values": "SELECT p_name FROM part",
     "sheet_positions": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS position FROM orders",
     "sheet_add_column": "SELECT n_nationkey, n_name, 100 + n_nationkey AS rank FROM nation",
     "sheet_update_column": "SELECT n_nationkey, CASE WHEN n_nationkey < 20 THEN 'n' || n_nationkey END AS n_name FROM nation",

@@ -22,7 +22,9 @@ class Workbook:
     """Sheets are tables. A call reads the active one, and its result replaces it.
 
     With a backend every call goes there, whole grid and all (and fails if it
-    fails: there is no falling back); without one the tools here are used.
+    fails: there is no falling back); without one the tools here are used. A grid
+    of more than ``most_rows`` rows goes as files in the folder ``exchange``, which
+    backend and cluster share; without that folder it is refused.
     Sheets written by a workbook keep their row order in a hidden column.
     """
 
@@ -30,6 +32,8 @@ class Workbook:
     active: str
     order_by: str | Sequence[str] | None = None
     backend: Backend | None = None
+    exchange: str | None = None
+    most_rows: int = 100_000
 
     def grid(self) -> Grid:
         grid = read_sheet(self.spark, self.active)
@@ -47,13 +51,13 @@ class Workbook:
 
     def _write(self, grid: Grid, name: str) -> None:
         shown = list(grid.columns) + ([POS] if grid.ordered else [])
-        whole = Grid(grid.df.select(*map(quoted, shown)), tuple(shown), tuple(shown), False)
+        whole = Grid(grid.df.select(*map(quoted, shown)), tuple(shown), tuple(shown), False, grid.marks)
         add_sheet(whole, name)
 
     def _remote(self, tier: str, tool: str, params: dict[str, Any]) -> Any:
         if tier != "clean" and tier not in RESERVED:
             raise KeyError(f"unknown tier {tier!r}")
-        answer = self.backend(tier, wire.request(self.grid(), tool, params))
+        answer = self.backend(tier, wire.request(self.grid(), tool, params, most_rows=self.most_rows, exchange=self.exchange))
         grid, sheet, summary = wire.response(self.spark, answer)
         if grid is not None:
             self._write(grid, sheet or self.active)

@@ -8,6 +8,8 @@ grid is shown or written.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -20,6 +22,7 @@ from gridwright.functions.coerce import is_text, quoted, to_text
 from gridwright.sources.positions import numbered
 
 POS = "__pos"
+MARKS = "gridwright.marks"  #: the table property that keeps a sheet's marks
 
 
 def unique_names(headers: Iterable[str], taken: Iterable[str] = ()) -> list[str]:
@@ -42,6 +45,7 @@ class Grid:
     headers: tuple[str, ...]
     columns: tuple[str, ...]
     ordered: bool = False
+    marks: tuple[tuple[str, str], ...] = ()  #: ranges of cells and the colours that a viewer should give them
 
     @staticmethod
     def of(df: DataFrame, order_by: str | Sequence[str] | None = None, headers: Sequence[str] | None = None, unique: bool = False) -> Grid:
@@ -154,7 +158,13 @@ def sheet_names(spark: SparkSession) -> list[str]:
 def read_sheet(spark: SparkSession, name: str, order_by: str | Sequence[str] | None = None) -> Grid:
     if not spark.catalog.tableExists(name):
         raise KeyError(f"no sheet {name!r}")
-    return Grid.of(spark.table(name), order_by)
+    grid = Grid.of(spark.table(name), order_by)
+    kept = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES {quoted(name)}").collect()} if not _temporary(spark, name) else {}
+    return replace(grid, marks=tuple((a, b) for a, b in json.loads(kept.get(MARKS, "[]"))))
+
+
+def _temporary(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.getTable(quoted(name)).tableType in ("TEMPORARY", "VIEW")
 
 
 def read_files(spark: SparkSession, path: str, kind: str = "parquet", order_by: str | Sequence[str] | None = None, schema: T.StructType | str | None = None, **options: Any) -> Grid:
@@ -201,14 +211,28 @@ def write_files(grid: Grid, path: str, kind: str = "parquet", mode: str = "overw
 
 
 def add_sheet(grid: Grid, name: str, sort: bool = False) -> dict[str, Any]:
-    """Create the sheet anew, whether or not one of that name exists. A grid that
-    reads the sheet it replaces is written beside it first."""
+    """Create the sheet anew, whether or not one of that name exists. It is written
+    beside an old one, which is moved aside then and dropped last, and comes back
+    if the new one can't take its place. The grid may read the sheet it replaces."""
     spark = grid.spark
     df, rows = _counted(grid.frame(sort))
-    fresh = f"{name}__new"
-    df.write.mode("overwrite").saveAsTable(fresh)
-    spark.sql(f"DROP TABLE IF EXISTS {quoted(name)}")
-    spark.sql(f"ALTER TABLE {quoted(fresh)} RENAME TO {quoted(name)}")
+    tag = uuid.uuid4().hex
+    fresh, old = f"{name}__new_{tag}", f"{name}__old_{tag}"
+    df.write.saveAsTable(fresh)
+    if grid.marks:
+        text = json.dumps(grid.marks, ensure_ascii=True).replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"ALTER TABLE {quoted(fresh)} SET TBLPROPERTIES ('{MARKS}' = '{text}')")
+    there = spark.catalog.tableExists(name)
+    if there:
+        spark.sql(f"ALTER TABLE {quoted(name)} RENAME TO {quoted(old)}")
+    try:
+        spark.sql(f"ALTER TABLE {quoted(fresh)} RENAME TO {quoted(name)}")
+    except Exception:
+        if there:
+            spark.sql(f"ALTER TABLE {quoted(old)} RENAME TO {quoted(name)}")
+        raise
+    if there:
+        spark.sql(f"DROP TABLE {quoted(old)}")
     return {"sheet": name, "rows_written": rows()}
 
 
@@ -273,6 +297,13 @@ def mark_cells(grid: Grid, cells: str, color: str) -> dict[str, str]:
     return {"range": cells, "color": color}
 
 
+def highlighted(grid: Grid, cells: str, color: str) -> Grid:
+    """The grid with a range marked; a sheet written from it keeps its marks, and
+    of marks on one range the last one counts."""
+    mark = mark_cells(grid, cells, color)
+    return replace(grid, marks=(*((a, b) for a, b in grid.marks if a != cells), (mark["range"], mark["color"])))
+
+
 def from_records(spark: SparkSession, records: Sequence[dict[str, Any]]) -> Grid:
     """Rows from records; the first one's keys are the headers, in its order, and
     missing or null values are empty text."""

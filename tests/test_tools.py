@@ -310,3 +310,33 @@ def test_rules(text_grid, cells):
     assert flags(rule_type="not_null") == [0, 1, 1, 0, 0]
     assert cells(out(grid, "invalid-values", column="x", min_val=0, max_val=10, action="remove").grid) == ["5", BLANK]
     assert cells(out(text_grid(x=["1", None]), "invalid-values", INTENDED, column="x", rule_type="regex", regex_pattern="", action="remove").grid) == ["1", None]
+
+
+def test_constants_of_any_type(spark):
+    rows = [(i, i % 3, float(i % 2) if i else -0.0, None if i % 2 else "x", bytes([i % 4, 255])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, three int, d double, s string, b binary").selectExpr("*", "timestamp_micros(id % 7) AS t", "cast('NaN' AS double) AS n")
+    found = run(Grid.of(df), "detect-constant", {"threshold": "7"})
+    assert {r["column"]: r["unique_values"] for r in found.df.collect()} == {"three": 3, "d": 2, "s": 2, "b": 4, "t": 7, "n": 1}
+    assert run(Grid.of(df.filter("false")), "detect-constant", {"threshold": 3}).stats()["constant"] == 7
+
+
+def test_broken_patterns_and_other_failures(text_grid, cells, monkeypatch):
+    from gridwright.operators import validate
+
+    grid = text_grid(a=["x", "1"])
+    for pattern in ("(", "[z-a]", "a{2,1}"):
+        assert cells(out(grid, "invalid-values", column="a", rule_type="regex", regex_pattern=pattern).grid, "is_invalid") == [1, 1]
+    assert cells(out(grid, "invalid-values", column="a", rule_type="regex", regex_pattern="[0-9]").grid, "is_invalid") == [1, 0]
+
+    def lost(_):
+        raise RuntimeError("no session")
+
+    monkeypatch.setattr(validate, "Pattern", lost)
+    with pytest.raises(RuntimeError):
+        out(grid, "invalid-values", column="a", rule_type="regex", regex_pattern="a")
+
+
+def test_hosts_beyond_ascii(text_grid, cells):
+    urls = ["http://bücher.example/x", "http://ＧＯ.com", "http://a／b.com/", "http://日本.jp", "http://%E6%97%A5.jp", "http://a℀b.com/"]
+    got = cells(out(text_grid(u=urls), "validate-url", column="u").grid, "url_valid")
+    assert got == [1, 1, 0, 1, 1, 0]
