@@ -8,8 +8,9 @@
    smallest nodes the one that it shares most buckets with. So a group of near
    copies becomes one component at the cost of one comparison each.
 3. Buckets whose nodes are in one component by now are done. In the others every
-   pair across components is decided on full sets: buckets that hang together are
-   verified as one group while that fits a block, else each bucket on its own.
+   pair across components is decided on full sets: components that hang together by
+   such buckets are verified as one group while that makes no more blocks than there
+   are bands (so a set goes out at most that often), else each bucket on its own.
    A group heavier than a block is dealt into blocks, and each pair of blocks is one
    task's group, but for the blocks of its heaviest component among themselves: its
    nodes are linked already. An inverted index over the shingles counts the exact
@@ -238,15 +239,17 @@ def _dealt(groups: DataFrame, block_weight: int) -> DataFrame:
     return rows.select(*key, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "comp", "node")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 48, rows: int = 7, block_weight: int = 400_000, chunk: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 48, rows: int = 7, block_weight: int = 400_000, chunk: int = 64, most_blocks: int | None = None) -> DataFrame:
     """id_col, n_shingles, component_id, kept and text_hash (xxhash64) for each row of docs.
 
     Documents are linked at ``percent`` hundredths of Jaccard similarity over
     distinct k-word shingles. block_weight: a block's shingles plus 500 for each
     of its sets, about; two blocks are in a task's memory at a time. chunk: nodes
-    that are compared with one copy of their center.
+    that are compared with one copy of their center. most_blocks: blocks of a group
+    of several buckets (as many as bands); a heavier one is verified by bucket.
     """
     spark = docs.sparkSession
+    most_blocks = bands if most_blocks is None else most_blocks
     done: list[str] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -276,18 +279,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared = outer.union(inner).join(sets, "node").select("center", "chunk", "node", "shingles").repartition("center", "chunk").sortWithinPartitions("center", "chunk", "node")
     first = kept(compared.mapInArrow(_with_centers(percent), "a long, b long"), "near-links")
 
-    # Buckets that still hold several components.
+    # Buckets that still hold several components, and the components that hang together by them.
     comps = connected_components(first, paths=done).withColumnRenamed("node", "of_node")
     named = kept(members.join(comps, F.col("node") == F.col("of_node"), "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "near-named")
-    open_ = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select(F.col("key").alias("of_key"), "low")
-    left = named.join(open_, F.col("key") == F.col("of_key")).select("key", "node", "comp", "low")
-    left = kept(left.join(sets.select(F.col("node").alias("of_node"), "n"), F.col("node") == F.col("of_node")).select("key", "node", "comp", "low", (F.col("n") + 500).alias("weight")), "near-open")
-    joined = connected_components(left.filter("comp <> low").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct(), paths=done)
-    left = left.join(joined.select(F.col("node").alias("of_comp"), F.col("component").alias("cluster")), F.col("comp") == F.col("of_comp")).select("key", "node", "comp", "weight", "cluster")
-    once = kept(left.select("cluster", "node", "comp", "weight").distinct(), "near-clusters")
-    heavy = once.groupBy("cluster").agg(F.sum("weight").alias("whole")).filter(F.col("whole") > block_weight).select(F.col("cluster").alias("of"))
-    light = once.join(heavy, F.col("cluster") == F.col("of"), "left_anti").select(F.lit(False).alias("bucket"), F.col("cluster").alias("g"), "node", "comp", "weight")
-    buckets = left.join(heavy, F.col("cluster") == F.col("of"), "left_semi")
+    pairs = named.select("key", "comp").distinct()
+    open_ = pairs.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select(F.col("key").alias("of_key"), "low")
+    open_ = kept(open_, "near-open")
+    edges = pairs.join(open_, F.col("key") == F.col("of_key")).filter("comp <> low").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct()
+    joined = connected_components(edges, paths=done).select(F.col("node").alias("of_comp"), F.col("component").alias("cluster"))
+    weights = sets.select(F.col("node").alias("of_node"), (F.col("n") + 500).alias("weight"))
+    left = named.select("node", "comp").distinct().join(joined, F.col("comp") == F.col("of_comp")).join(weights, F.col("node") == F.col("of_node"))
+    left = kept(left.select("cluster", "node", "comp", "weight"), "near-clusters")
+    heavy = left.groupBy("cluster").agg(F.sum("weight").alias("whole")).filter(F.col("whole") > block_weight * most_blocks).select(F.col("cluster").alias("of"))
+    light = left.join(heavy, F.col("cluster") == F.col("of"), "left_anti").select(F.lit(False).alias("bucket"), F.col("cluster").alias("g"), "node", "comp", "weight")
+    apart = left.join(heavy, F.col("cluster") == F.col("of"), "left_semi").select(F.col("node").alias("of_node"), "weight")
+    buckets = named.join(open_, F.col("key") == F.col("of_key"), "left_semi").join(apart, F.col("node") == F.col("of_node")).select("key", "node", "comp", "weight")
     # Of buckets with the same nodes one is enough.
     alike = buckets.groupBy("key").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"), F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
     alike = alike.groupBy("all", "n", "a", "b").agg(F.min("key").alias("of_key")).select("of_key")

@@ -53,8 +53,8 @@ def test_one_large_group_of_near_copies(spark):
     rows += [(1000 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(50))) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows, 4)
-    for weight, chunk in ((1_000_000, 64), (20_000, 3)):  # one block, and many
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, k=4, block_weight=weight, chunk=chunk).collect()}
+    for weight, chunk, blocks in ((1_000_000, 64, None), (20_000, 3, None), (20_000, 3, 0)):  # one block, many, and by bucket
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, k=4, block_weight=weight, chunk=chunk, most_blocks=blocks).collect()}
         assert got == want
 
 
@@ -86,8 +86,9 @@ def test_boilerplate_does_not_multiply_sets(spark):
     common = [f"c{i}" for i in range(60)]
     rows = [(i, " ".join(common + [f"u{i}x{j}" for j in range(30)])) for i in range(200)]
     rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 200, 10)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2, block_weight=20_000).collect()}
-    assert got == brute(rows, 2)
+    for blocks in (None, 2):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2, block_weight=20_000, most_blocks=blocks).collect()}
+        assert got == brute(rows, 2)
     # A heavy group of one large component and few others: its sets go out once for each block of the others.
     groups = spark.range(0, 5000).select(F.lit(True).alias("bucket"), F.lit(7).cast("long").alias("g"), F.col("id").alias("node"), F.when(F.col("id") < 4990, 0).otherwise(F.col("id")).cast("long").alias("comp"), F.lit(900).cast("long").alias("weight"))
     dealt = _dealt(groups, 400_000).cache()
