@@ -1,8 +1,8 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
 Texts are normalised (lower case, words of letters and digits; on a line that
-begins with a copyright statement, the statement is left out: years and holder up
-to the end of the sentence, to a template's first words, or to twelve words of
+begins with a copyright statement (the word, or a sign and a year), the statement is
+left out: years and holder up to the end of the sentence, to a template's first words, or to twelve words of
 holder). A unit is any run of words at least as long as the template it is
 compared with, wherever it begins and ends, or a shorter one that begins and ends
 with a line or a sentence: a short run cut out of a sentence could leave out just
@@ -17,7 +17,8 @@ One narrow pass over whole texts. The templates are a fixed list; a caller's own
 list is broadcast after a check of its size.
 
 Defined results: null, empty and blank texts, and texts without a match, give no
-row; equal texts give equal rows; several matches can stand on one line; ties go
+row; very long texts are read whole; equal texts and repeated rows give equal rows;
+several matches can stand on one line; ties go
 to the longer unit, then to the first one, then to the first template by name; an
 empty table gives an empty result; extra columns are ignored.
 """
@@ -71,6 +72,32 @@ _MPL = """This Source Code Form is subject to the terms of the Mozilla Public Li
 _UNLICENSE = """This is free and unencumbered software released into the public domain.
 
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+_UNLICENSE_REST = """
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_CC0 = """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.
+
+You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see <http://creativecommons.org/publicdomain/zero/1.0/>."""
+_CC = """This work is licensed under the Creative Commons {kind} License."""
+_CC_VISIT = """ To view a copy of this license, visit http://creativecommons.org/licenses/{code}/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."""
 
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", _MIT),
@@ -85,7 +112,17 @@ TEMPLATES: list[tuple[str, str]] = [
     ("AGPL-3.0", _GPL.format(name="Affero General Public License", v="3")),
     ("MPL-2.0", _MPL),
     ("Unlicense", _UNLICENSE),
+    ("Unlicense", _UNLICENSE + _UNLICENSE_REST),
+    ("Zlib", _ZLIB),
+    ("BSL-1.0", _BOOST),
+    ("CC0-1.0", _CC0),
 ]
+# Notices of Creative Commons licences, as their legal pages word them.
+for _code, _kind in [("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives")]:
+    for _v, _where in [("3.0", "Unported"), ("4.0", "International")]:
+        _short = _CC.format(kind=f"{_kind} {_v} {_where}")
+        TEMPLATES.append((f"CC-{_code.upper()}-{_v}", _short))
+        TEMPLATES.append((f"CC-{_code.upper()}-{_v}", _short + _CC_VISIT.format(code=f"{_code}/{_v}")))
 # Notices of one line, in the forms that pages and files carry them.
 for _name, _said in [
     ("MIT", "the MIT License"),
@@ -115,7 +152,7 @@ for _name, _said in [
 _WORD = re.compile(r"[^\W_]+")
 _WORD_OR_END = re.compile(r"[^\W_]+|[.!?;:](?=\s)")
 # The word is part of the licence before some others: lines can be wrapped there.
-_COPYRIGHT = re.compile(r"[\W_]*copyright(?![^\W_])(?!\W*$)(?!\W+(?:notices?|holders?|owners?|laws?|licen[sc]es?|statements?)(?![^\W_]))(?:[\W_]*(?:\(c\)|©|c(?![^\W_])|\d{4}(?![^\W_])|present(?![^\W_])|by(?![^\W_])))*")
+_COPYRIGHT = re.compile(r"[\W_]*(?:copyright(?![^\W_])(?!\W*$)(?!\W+(?:notices?|holders?|owners?|laws?|licen[sc]es?|statements?)(?![^\W_]))|(?:\(c\)|\xa9)(?=\W*\d{4}(?![^\W_])))(?:[\W_]*(?:\(c\)|©|c(?![^\W_])|\d{4}(?![^\W_])|present(?![^\W_])|by(?![^\W_])))*")
 _RIGHTS = re.compile(r"[\W_]*all rights reserved(?![^\W_])")
 
 

@@ -11,8 +11,9 @@ cut by size, so that memory is bounded by the largest value.
 
 Defined results: a null media value has no packets and status null; a value that
 breaks off or isn't Matroska keeps the packets before the break and says why in
-its status; null texts are stored as empty ones; an empty table gives an empty
-result; extra columns are ignored.
+its status; null texts are stored as empty ones, very long ones whole; packets with
+one timestamp keep their order in the file; equal values and repeated rows give equal
+rows; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ in the order key and differ by about one row's size.
 Only one number per partition (and one per partition and shard it touches)
 reaches the driver; rows never do.
 
-Defined results: a null text has size ``row_overhead``; null order keys come
-first; rows that tie in the order key are ordered by the remaining tie columns,
+Defined results: a null text has size ``overhead``; a very long text is one row in
+one shard; null order keys come first; rows that tie in the order key are ordered by the remaining tie columns,
 and rows equal in all of those are interchangeable; an empty table gives an
 empty result. Extra columns are carried along, whatever their names, but for
 those named like the two results, which are replaced.

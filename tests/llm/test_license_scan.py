@@ -128,3 +128,25 @@ def test_a_line_wrapped_before_copyright():
     assert scan_text("\n".join(w), KNOWN) == [("MIT", 1.0, 0, len(w) - 1)]
     text = whole("BSD-3-Clause").replace(" copyright ", "\ncopyright ").replace(" COPYRIGHT ", "\nCOPYRIGHT ")
     assert [g[:2] for g in scan_text(text, KNOWN)] == [("BSD-3-Clause", 1.0)]
+
+
+def test_statements_that_begin_with_a_sign():
+    first, _, rest = whole("MIT").partition("\n\n")
+    for line in ("(c) 2020 Someone Of That Name", "\xa9 2019-2021 Others Of Another Name And Company", "  * (C) 2020, 2022 by X. All rights reserved."):
+        assert scan_text(f"{first}\n{line}\n{rest}", KNOWN) == [("MIT", 1.0, 0, 4)], line
+    assert scan_text("(c) 2021 X. Released under the MIT License.", KNOWN) == [("MIT", 1.0, 0, 0)]
+
+
+def test_adjacent_and_nested_notices():
+    mit, isc, bsd = whole("MIT"), whole("ISC"), whole("BSD-3-Clause")
+    names = lambda text: [g[0] for g in scan_text(text, KNOWN)]
+    assert names(f"{mit}\nCopyright (c) 2020 X\n{isc}") == ["MIT", "ISC"]
+    assert names(f"{mit}\n\n{bsd}\n\n{isc}") == ["MIT", "BSD-3-Clause", "ISC"]
+    assert names(f"Licensed under CC BY 4.0.\n{mit}") == ["CC-BY-4.0", "MIT"]
+    assert names("Two: Released under the MIT License. Licensed under CC BY 4.0.") == ["MIT", "CC-BY-4.0"]
+
+
+def test_kinds_of_one_family_are_told_apart():
+    for name, text in TEMPLATES:
+        if name.startswith("CC-") or name in ("Unlicense", "Zlib", "BSL-1.0", "CC0-1.0"):
+            assert [(g[0], g[1]) for g in scan_text(f"Words before.\n{text}\nWords after.", KNOWN)] == [(name, 1.0)], text

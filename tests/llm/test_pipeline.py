@@ -34,7 +34,7 @@ def test_columns(stages):
 def test_language_id(stages):
     before, after = stages["language_id"]
     model = langid.fit(before.filter(~langid.held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text", "lang"))
-    want = {r.doc_id for r in langid.predict(before, model, names=("p", "s", "b")).collect() if r.p != "und" and r.s >= 0.5}
+    want = {r.doc_id for r in langid.predict(before, model, names=("p", "s", "b")).collect() if r.p != "und" and r.s >= 0.5 and (r.b - 8) * len(r.text.encode()) <= 256}
     assert ids(after) == want and len(want) >= 0.99 * before.count()
 
 
@@ -82,3 +82,14 @@ def test_odd_rows(spark, data, odd, none):
     kept = cp.near_dedup_stage(spark, odd, data)
     assert kept.filter("doc_id is null").count() == 2
     assert kept.filter((F.col("doc_id") == 7) & (F.col("text") == EN)).count() == 0
+
+
+def test_texts_of_no_learned_language_go(spark, data, documents):
+    import base64
+    import random
+
+    rng = random.Random(3)
+    other = [base64.b64encode(rng.randbytes(300)).decode(), "\u042d\u0442\u043e \u043e\u0431\u044b\u0447\u043d\u044b\u0439 \u0442\u0435\u043a\u0441\u0442 " * 9]
+    more = spark.createDataFrame([(10**7 + i, t, None, "x", len(t)) for i, t in enumerate(other)], documents.schema)
+    kept = ids(cp.language_id(spark, documents.union(more), data))
+    assert kept == ids(cp.language_id(spark, documents, data)) and len(kept) >= 0.99 * documents.count()
