@@ -80,10 +80,31 @@ def test_odd_rows(spark, data, odd, none):
         assert out.count() <= 3 * odd.count()
         assert stage(spark, none, data).count() == 0, name
     kept = cp.near_dedup_stage(spark, odd, data)
-    assert kept.filter("doc_id is null").count() == 2
+    assert kept.filter("doc_id is null").collect()[0].text is None and kept.filter("doc_id is null").count() == 1
     assert kept.filter((F.col("doc_id") == 7) & (F.col("text") == EN)).count() == 0
 
 
+def test_one_document_of_each_group_stays(spark, data, documents):
+    """Also of repeated rows and of documents without an id, which are groups of their own kind."""
+    from tests.llm.test_near_dedup import shingles
+
+    rows = [r.asDict() for r in documents.limit(60).collect()]
+    more = [dict(r, doc_id=None) for r in rows[::3]] + [dict(r, doc_id=None, text=r["text"] + " end") for r in rows[1::6]] + [dict(r, n_chars=7) for r in rows[::4]] + rows[::5]
+    more += [dict(rows[0], doc_id=None, text=f"a text {i % 2} of words that nobody else here has in it") for i in range(6)]
+    df = spark.createDataFrame([tuple(r[c] for c in documents.columns) for r in rows + more], documents.schema)
+    got = cp.near_dedup_stage(spark, df, data).collect()
+    texts = {r["text"] for r in rows + more}
+    numbered = list(enumerate(sorted(texts)))
+    of = {t: brute(numbered, 5)[i][1] for i, t in numbered if shingles(t, 5)}
+    groups = [of[r.text] for r in got if r.text in of]
+    assert sorted(groups) == sorted(set(of.values()))
+    least = {}
+    for r in rows + more:
+        if r["doc_id"] is not None and r["text"] in of:
+            least[of[r["text"]]] = min(least.get(of[r["text"]], r["doc_id"]), r["doc_id"])
+    assert all(r.doc_id == least.get(of[r.text]) for r in got if r.text in of)
+
+
 def test_texts_of_no_learned_language_go(spark, data, documents):
     import base64
     import random
