@@ -7,13 +7,19 @@ the last return the columns of docs; extra columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridwright.llm import decontam, langid, mixing, near_dedup, sharding
 from gridwright.llm.common import discard, free_names, table, word_count, written
 
 
+def _all(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what has no language: null texts, texts without a letter, texts for
     which no language has at least half of the likelihood, and texts whose shortest
@@ -23,23 +29,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = free_names(docs, "lang_pred", "score", "bits_per_byte")
     judged = langid.predict(docs, langid.fit(learn), names=tuple(names))
     described = (F.col(names[2]) - 8) * F.octet_length("text") <= 256
-    return judged.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= 0.5) & described).select(*docs.columns)
+    return judged.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= 0.5) & described).select(*_all(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of texts alike
-    in 0.8 or more of their five-word shingles. Rows repeated under one id with
-    one text are one document and stay together; a null id stays."""
-    gone, hashed = free_names(docs, "gone", "hashed")
-    left = near_dedup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(gone), F.col("text_hash").alias(hashed)).distinct()
-    return docs.join(left, (F.col("doc_id") == F.col(gone)) & (F.xxhash64("text") == F.col(hashed)), "left_anti")
+    """Keeps one document of each component of texts alike in 0.8 or more of their
+    five-word shingles: the one with the smallest id, and one without an id only
+    where no other is there (by a hash of the text). Of rows repeated under one id
+    with one text, or with one text under none, one stays, the least by its other
+    columns; texts without a word are alike to no others."""
+    key, hashed, rank, gone, text = free_names(docs, "key", "hashed", "rank", "gone", "gone_text")
+    large = 1 << 62
+    keyed = docs.withColumn(hashed, F.xxhash64("text"))
+    keyed = keyed.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.pmod(F.col(hashed), F.lit(large)) + large))
+    # A row number of 1 is asked for, so every task keeps one row of a key before the shuffle.
+    plain = [c for c, f in zip(_all(docs), docs.schema.fields) if isinstance(f.dataType, T.AtomicType) and f.name != "text"]
+    once = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(key, hashed).orderBy(*plain))).filter(F.col(rank) == 1)
+    found = near_dedup.near_duplicates(keyed, id_col=key).filter("not kept")
+    left = found.select(F.col(key).alias(gone), F.col("text_hash").alias(text)).distinct()
+    return once.join(left, (F.col(key) == F.col(gone)) & (F.col(hashed) == F.col(text)), "left_anti").select(*_all(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that contain a benchmark item."""
     name = free_names(docs, "hits")[0]
     found = decontam.overlap_column(docs, table(spark, sf_dir, "benchmark"), name=name)
-    return found.filter(F.size(name) == 0).select(*docs.columns)
+    return found.filter(F.size(name) == 0).select(*_all(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +66,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     per = mixed.groupBy("doc_id", "source", "size").agg(F.floor(F.try_divide(F.sum("taken"), F.count(F.lit(1)) * F.first("size")) + 0.5).cast("int").alias(times))
     per = per.filter(F.col(times) > 0).select(F.col("doc_id").alias(of), F.col("source").alias(source), F.col("size").alias(words), times)
     joined = sized.join(per, F.col("doc_id").eqNullSafe(F.col(of)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(size) == F.col(words)))
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(times)).select(*docs.columns)
+    return joined.select(*_all(docs), F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(times)).select(*_all(docs))
 
 
 def byte_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
