@@ -21,15 +21,15 @@ def _all(docs: DataFrame) -> list[Column]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no language: null texts, texts without a letter, texts for
-    which no language has at least half of the likelihood, and texts whose shortest
-    code is more than 256 bits longer than their plain bytes (8 bits each), so that
-    no learned language describes them."""
+    """Rejects what has no language: null texts, texts without a letter, and texts
+    whose shortest code is more than 256 bits longer than their plain bytes (8 bits
+    each), so that no learned language describes them. A short text that several
+    languages describe alike stays."""
     learn = docs.filter(~langid.held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text", "lang")
     names = free_names(docs, "lang_pred", "score", "bits_per_byte")
     judged = langid.predict(docs, langid.fit(learn), names=tuple(names))
     described = (F.col(names[2]) - 8) * F.octet_length("text") <= 256
-    return judged.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= 0.5) & described).select(*_all(docs))
+    return judged.filter((F.col(names[0]) != "und") & described).select(*_all(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
