@@ -281,7 +281,7 @@ def propose(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = _matches(df, t, _SPELLED, t.rlike(r"[(\[]\x20?[aA][tT]\x20?[)\]]"), spelled)
     df = _matches(df, t, _BARE_PHONE, digits, bare)
     df = _matches(df, t, _IDENTITY, digits, identity)
-    df = _matches(df, t, _OPAQUE, t.rlike(r"[A-Za-z0-9_+/-]{20}"), opaque)
+    df = _matches(df, t, _OPAQUE, t.rlike("[0-9]") & t.rlike(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20}"), opaque)
     # Words and numbers alone are no keys: letters and digits have to meet.
     df = df.withColumn(opaque, F.filter(opaque, lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]")))
     for name, kind in zip(loose, ("email", "phone", "id", "secret")):
