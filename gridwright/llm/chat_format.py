@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import table
+from gridwright.llm.common import table, written
 
 # Fixed values of the chat format.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -71,6 +71,8 @@ def format_sides(turns: DataFrame, turns_per_part: int = 4096) -> DataFrame:
     differs = ~F.col("c").eqNullSafe(F.col("r"))
     part = F.floor(F.col("turn") / F.lit(turns_per_part)).cast("long").alias("part")
     lines = sides.select("pair_id", part, "turn", "c", F.when(differs, F.col("r")).alias("r"), differs.alias("differs"))
+    # Read twice: once for where the sides differ, without their texts.
+    lines, _ = written(lines, "pair-lines")
     here = lines.groupBy("pair_id", "part").agg(F.min(F.when(F.col("differs"), F.col("turn"))).alias("here"))
     upto = Window.partitionBy("of_pair").orderBy("of_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = here.select(F.col("pair_id").alias("of_pair"), F.col("part").alias("of_part"), "here").withColumn("cut", F.min("here").over(upto)).drop("here")
