@@ -35,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import free_names, table, written
+from gridwright.llm.common import table, written
 
 KINDS = ["email", "ip", "card", "phone", "id", "secret"]
 
@@ -121,33 +121,43 @@ def _sum_before(levels: list[Column], i: Column) -> Column:
     return out
 
 
-def _matches(df: DataFrame, read: Column, pattern: str, only: Column, name: str, back: str | None = None) -> DataFrame:
-    """df with a column of pattern's matches in ``read``: start and end (code
-    points, end exclusive), the text, up to 32 characters before it and one behind
-    it; empty where ``only`` is false. back: what joined characters stand for.
+def _matches(df: DataFrame, wanted: dict[str, tuple[Column, str, Column, str | None]]) -> DataFrame:
+    """df with a column for each name: the matches of a pattern in a column to read,
+    with start and end (code points, end exclusive), the text, up to 32 characters
+    before it and one behind it; empty where a condition is false. The last of the
+    four is what joined characters stand for.
 
     The pieces between matches and the matches themselves alternate, so the sums
-    of their lengths are the offsets. Steps are columns of their own: each is used
-    several times."""
-    t, m, p, gaps, one, two, three = (f"{name}_{x}" for x in ("text", "m", "p", "gaps", "one", "two", "three"))
-    df = df.withColumn(t, F.when(only, read))
-    df = df.withColumn(m, F.when(F.col(t).isNotNull(), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(_none("string")))
-    df = df.withColumn(p, F.when(F.size(m) > 0, F.split(t, pattern, -1)).otherwise(_none("string")))
-    plain = (lambda c: F.replace(c, F.lit(_JOIN), F.lit(back))) if back else lambda c: c
-    # Of each match the distance between its start and the start of the one before.
-    at = lambda i: F.length(F.get(p, i)) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(0)
-    df = df.withColumn(gaps, F.transform(_up_to(F.size(m)), at))
-    df = df.withColumn(one, _grouped(F.col(gaps))).withColumn(two, _grouped(F.col(one))).withColumn(three, _grouped(F.col(two)))
-    levels = [F.col(c) for c in (gaps, one, two, three)]
-
-    def span(i: Column) -> Column:
-        start, text = _sum_before(levels, i + 1), F.get(m, i)
-        before, behind = F.get(p, i), F.get(p, i + 1)
-        left = F.when(before != "", F.right(before, F.lit(32))).when(i > 0, F.right(F.get(m, i - 1), F.lit(1))).otherwise("")
-        right = F.when(behind != "", F.left(behind, F.lit(1))).otherwise(F.left(F.coalesce(F.get(m, i + 1), F.lit("")), F.lit(1)))
-        return F.struct(start.alias("start"), (start + F.length(text)).alias("end"), plain(text).alias("text"), plain(left).alias("left"), plain(right).alias("right"))
-
-    return df.withColumn(name, F.transform(_up_to(F.size(m)), span)).drop(t, m, p, gaps, one, two, three)
+    of their lengths are the offsets. Steps are columns of their own, as each is used
+    several times; one step is made for all patterns together, as each copies the row."""
+    part = {n: {x: f"{n}_{x}" for x in ("text", "m", "p", "gaps", "one", "two", "three")} for n in wanted}
+    df = df.withColumns({part[n]["text"]: F.when(only, read) for n, (read, _, only, _) in wanted.items()})
+    df = df.withColumns({c["m"]: F.when(F.col(c["text"]).isNotNull(), F.regexp_extract_all(c["text"], F.lit(wanted[n][1]), F.lit(0))).otherwise(_none("string")) for n, c in part.items()})
+    df = df.withColumns({c["p"]: F.when(F.size(c["m"]) > 0, F.split(c["text"], wanted[n][1], -1)).otherwise(_none("string")) for n, c in part.items()})
+
+    def gaps(c: dict[str, str]) -> Column:
+        """Of each match the distance between its start and the start of the one before."""
+        at = lambda i: F.length(F.get(c["p"], i)) + F.when(i > 0, F.length(F.get(c["m"], i - 1))).otherwise(0)
+        return F.transform(_up_to(F.size(c["m"])), at)
+
+    df = df.withColumns({c["gaps"]: gaps(c) for c in part.values()})
+    for low, high in (("gaps", "one"), ("one", "two"), ("two", "three")):
+        df = df.withColumns({c[high]: _grouped(F.col(c[low])) for c in part.values()})
+
+    def spans(c: dict[str, str], back: str | None) -> Column:
+        m, p, levels = c["m"], c["p"], [F.col(c[x]) for x in ("gaps", "one", "two", "three")]
+        plain = (lambda x: F.replace(x, F.lit(_JOIN), F.lit(back))) if back else lambda x: x
+
+        def span(i: Column) -> Column:
+            start, text = _sum_before(levels, i + 1), F.get(m, i)
+            before, behind = F.get(p, i), F.get(p, i + 1)
+            left = F.when(before != "", F.right(before, F.lit(32))).when(i > 0, F.right(F.get(m, i - 1), F.lit(1))).otherwise("")
+            right = F.when(behind != "", F.left(behind, F.lit(1))).otherwise(F.left(F.coalesce(F.get(m, i + 1), F.lit("")), F.lit(1)))
+            return F.struct(start.alias("start"), (start + F.length(text)).alias("end"), plain(text).alias("text"), plain(left).alias("left"), plain(right).alias("right"))
+
+        return F.transform(_up_to(F.size(m)), span)
+
+    return df.withColumns({n: spans(c, wanted[n][3]) for n, c in part.items()}).drop(*[x for c in part.values() for x in c.values()])
 
 
 def _digits(c: Column) -> Column:
@@ -257,38 +267,41 @@ def _apart(spans: Column, base: Column) -> Column:
 def propose(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the text and with ``proposed``: all spans that any pattern finds.
     Columns named like results (proposed, base, spans) are replaced."""
-    kept = [c for c in docs.columns if c != text_col and c.lower() not in ("proposed", "base", "spans")]
-    names = free_names(docs, "text", "dotted", "joined", "email", "ip", "card", "phone", "spelled", "bare", "identity", "opaque")
-    text, dotted, joined, email, ip, card, phone, *loose = names
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != text_col and c.lower() not in ("proposed", "base", "spans")]
+    # Names that begin alike, so that the steps' own, which go on from them, are free as well.
+    free = "found"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free = f"_{free}"
+    text, *names = (f"{free}_{x}" for x in ("text", "email", "ip", "card", "phone", "spelled", "bare", "identity", "opaque"))
+    strict, loose = dict(zip(names[:4], KINDS)), dict(zip(names[4:], ("email", "phone", "id", "secret")))
     t = F.col(text)
-    df = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(text))
     clean = F.replace(t, F.lit(_JOIN), F.lit(_OTHER))
-    digits = t.rlike(r"[0-9][0-9().\x20-]{7}")
-    df = df.withColumn(dotted, F.when(F.instr(t, "@") > 0, F.regexp_replace(clean, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _JOIN)))
-    df = df.withColumn(joined, F.when(t.rlike(r"[0-9][0-9\x20-]{14}"), F.regexp_replace(clean, r"(?<=[0-9])[\x20-](?=[0-9])", _JOIN)))
-    df = _matches(df, F.col(dotted), _EMAIL, F.lit(True), email, ".").drop(dotted)
-    df = _matches(df, F.col(joined), _CARD, F.lit(True), card, " ").drop(joined)
-    # Runs of fewer than 16 digits are ordinary numbers, not proposals.
-    df = df.withColumn(card, F.filter(card, lambda s: F.length(_digits(s["text"])) >= 16))
-    df = _matches(df, t, _IP, t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), ip)
-    df = _matches(df, t, _PHONE, F.instr(t, "+") > 0, phone)
-    strict = list(zip((email, ip, card, phone), KINDS))
-    sure = free_names(df, *(f"sure_{kind}" for _, kind in strict))
-    for (name, kind), valid in zip(strict, sure):
-        # Columns of their own: they are looked into for every loose proposal.
-        df = df.withColumn(name, _judged(name, kind, True)).withColumn(valid, F.filter(name, lambda s: s["base"]))
-    spelled, bare, identity, opaque = loose
-    df = _matches(df, t, _SPELLED, t.rlike(r"[(\[]\x20?[aA][tT]\x20?[)\]]"), spelled)
-    df = _matches(df, t, _BARE_PHONE, digits, bare)
-    df = _matches(df, t, _IDENTITY, digits, identity)
-    df = _matches(df, t, _OPAQUE, t.rlike("[0-9]") & t.rlike(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20}"), opaque)
-    # Words and numbers alone are no keys: letters and digits have to meet.
-    df = df.withColumn(opaque, F.filter(opaque, lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]")))
-    for name, kind in zip(loose, ("email", "phone", "id", "secret")):
-        for valid in sure:
-            df = df.withColumn(name, _apart(F.col(name), F.col(valid)))
-        df = df.withColumn(name, _judged(name, kind, False))
-    return df.select(*kept, F.concat(*[F.col(n) for n in (email, ip, card, phone, *loose)]).alias("proposed"))
+    dotted = F.regexp_replace(clean, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _JOIN)
+    joined = F.regexp_replace(clean, r"(?<=[0-9])[\x20-](?=[0-9])", _JOIN)
+    number, digits = t.rlike("[0-9]"), t.rlike(r"[0-9][0-9().\x20-]{7}")
+    df = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(text))
+    df = _matches(df, dict(zip(names, (
+        (dotted, _EMAIL, F.instr(t, "@") > 0, "."),
+        (t, _IP, t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), None),
+        (joined, _CARD, t.rlike(r"[0-9][0-9\x20-]{14}"), " "),
+        (t, _PHONE, F.instr(t, "+") > 0, None),
+        (t, _SPELLED, t.rlike(r"[(\[]\x20?[aA][tT]\x20?[)\]]"), None),
+        (t, _BARE_PHONE, digits, None),
+        (t, _IDENTITY, digits, None),
+        (t, _OPAQUE, number & t.rlike(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20}"), None),
+    )))).drop(text)
+    _, _, card, _, *_, opaque = names
+    # Runs of fewer than 16 digits are ordinary numbers, not proposals; words and
+    # numbers alone are no keys: letters and digits have to meet.
+    df = df.withColumns({card: F.filter(card, lambda s: F.length(_digits(s["text"])) >= 16), opaque: F.filter(opaque, lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]"))})
+    df = df.withColumns({n: _judged(n, kind, True) for n, kind in strict.items()})
+    # Columns of their own: they are looked into for every loose proposal.
+    sure = {n: f"{n}_sure" for n in strict}
+    df = df.withColumns({valid: F.filter(n, lambda s: s["base"]) for n, valid in sure.items()})
+    for valid in sure.values():
+        df = df.withColumns({n: _apart(F.col(n), F.col(valid)) for n in loose})
+    df = df.withColumns({n: _judged(n, kind, False) for n, kind in loose.items()})
+    return df.select(*kept, F.concat(*[F.col(n) for n in names]).alias("proposed"))
 
 
 def estimate(counts: dict[str, float], rounds: int = 50, mass: float = 250.0, votes: float = 6.0, spans: float = 25.0) -> tuple[dict[str, float], float]:
