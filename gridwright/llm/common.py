@@ -38,6 +38,14 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of about 8 MB, where the session leaves their size open: each
+    task that hands texts to Python holds a batch or two outside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, size)
+
+
 def in_turn(parts: Sequence[Broadcast]) -> Iterator[Any]:
     """The values of broadcast variables one after another. Of several only one is
     in a worker's memory at a time: it is read again from Spark's local copy."""

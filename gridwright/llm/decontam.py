@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm.common import discard, in_turn, table, written
+from gridwright.llm.common import discard, in_turn, small_batches, table, written
 from gridwright.llm.shingles import by_words
 
 _WORD = re.compile(r"[^\W_]+")
@@ -307,6 +307,7 @@ def overlap_column(docs: DataFrame, items: DataFrame, text_col: str = "text", na
     items: item_id and text, or item_id, question and answer.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     split = {"question", "answer"} <= set(items.columns)
     items = items.select(F.col("item_id").cast("long"), *(["question", "answer"] if split else ["text"]))
     text = [c for c in items.columns if c != "item_id"]

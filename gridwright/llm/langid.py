@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm.common import discard, in_turn, table, written
+from gridwright.llm.common import discard, in_turn, small_batches, table, written
 from gridwright.llm.shingles import by_words
 
 ORDER = 3
@@ -179,6 +179,7 @@ def fit(docs: DataFrame, sample_docs: int = 1500, languages_at_once: int = 16, e
     """Learn from docs (id, text, lang): models of groups of languages, broadcast;
     none if they hold nothing to learn from."""
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # a number for each language
     if not rows:
@@ -261,6 +262,7 @@ def predict(docs: DataFrame, models: list[Broadcast], text_col: str = "text", na
     """docs with the language of the shortest code, its share of the likelihood
     (0 to 1) and its bits per byte (null for ``und``). Columns of these names are
     replaced."""
+    small_batches(docs.sparkSession)
     taken = {n.lower() for n in names}
     kept = [f for f in docs.schema.fields if f.name.lower() not in taken or f.name == text_col]
     shown = [f for f in kept if f.name.lower() not in taken]

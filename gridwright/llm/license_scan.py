@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridwright.llm.common import table
+from gridwright.llm.common import small_batches, table
 from gridwright.llm.shingles import by_words
 
 # Public licence notices and texts.
@@ -375,6 +375,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     templates: name and text; up to most_template_bytes of text in all.
     """
+    small_batches(docs.sparkSession)
     chosen = TEMPLATES if templates is None else templates
     if sum(len(t) for _, t in chosen) > most_template_bytes:
         raise ValueError(f"templates are larger than {most_template_bytes} characters: scan with parts of the list")

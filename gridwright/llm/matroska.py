@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import table
+from gridwright.llm.common import small_batches, table
 from gridwright.llm.shingles import by_words
 
 # Fixed values of the Matroska format.
@@ -272,6 +272,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     [id_col, "media", "n_bytes"],
                 )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(muxed, f"`{id_col}` {kind}, media binary, n_bytes long")
 
@@ -328,6 +329,7 @@ def demuxed(media: DataFrame, media_col: str = "media", payload: bool = True) ->
                 [*batch.schema.names, *RESULTS],
             )
 
+    small_batches(media.sparkSession)
     media = media.drop(*[c for c in media.columns if c.lower() in RESULTS])
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
     return media.mapInArrow(parsed, f"{own}, {more}")

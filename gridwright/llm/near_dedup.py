@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import discard, table, written
+from gridwright.llm.common import discard, small_batches, table, written
 from gridwright.llm.components import connected_components
 from gridwright.llm.shingles import WordHashes, band_keys, parts_of, shingle_sets, sketches
 
@@ -249,6 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of several buckets (as many as bands); a heavier one is verified by bucket.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     most_blocks = bands if most_blocks is None else most_blocks
     done: list[str] = []
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwright.llm.common import free_names, shared_dir, table
+from gridwright.llm.common import free_names, shared_dir, small_batches, table
 
 
 def shard_by_bytes(df: DataFrame, size: Column, order_by: list[str], n_shards: int = 24, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
@@ -35,6 +35,7 @@ def shard_by_bytes(df: DataFrame, size: Column, order_by: list[str], n_shards: i
     the byte line its middle lies.
     """
     shared_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     b, tie, pid = free_names(df, "__bytes", "__tie", "__pid")
     # The tie column only spreads rows which are equal in order_by, so that one
     # repeated key can fill several partitions.
