@@ -154,3 +154,17 @@ def test_shared_folder(spark):
     discard(spark, path)
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(path).count()
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    from types import SimpleNamespace
+
+    from gridwright.sources.shared import shared_dir
+
+    def session(conf, checkpoint):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: conf), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoint))
+
+    with pytest.raises(RuntimeError):
+        shared_dir(session(None, None))
+    assert shared_dir(session(None, "hdfs://n/c")) == "hdfs://n/c" and shared_dir(session("hdfs://n/d", "hdfs://n/c")) == "hdfs://n/d"
